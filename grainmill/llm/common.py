@@ -44,8 +44,10 @@ def release(spark: SparkSession, *stashed: DataFrame) -> None:
     for df in stashed:
         path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the scheduler and the listeners refer to their last job until they have seen another
+        spark.range(1).write.format("noop").mode("overwrite").save()
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
