@@ -2,11 +2,12 @@
 
 Every document's n-grams are put in one global order, rare ones first (by counts of N-gram buckets over all documents, a table of fixed
 size). Documents that reach the threshold share an n-gram of their prefixes, so prefixes are joined; pairs pass a length and a positional filter, then a
-suffix filter (a lower bound of the difference from counts by hash range), and are verified on the texts once.
+suffix filter (parities of the set's hashes by range differ in no more ranges than the sets differ in elements), and are verified on the texts once.
 
-Groups of copies never give all their pairs. Documents with the same set are one node. Each node is first paired with one document of its
-lists only (the one it shares most prefix n-grams with); after linking, further pairs are only made between members of one list
-that are not connected yet, which loses no connection: two documents that link are in one list, and are either connected or paired.
+Groups of copies never give all their pairs. Documents with the same set are one node. In two rounds every node is paired with its nearest
+unconnected partner only, nearest by the suffix filter's bound; after these, pairs are made between members of one list that are not
+connected yet, which loses no connection: two documents that link are in one list, and are either connected or paired. Lists of
+more than CELL members are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import bounded, components, map_arrow, raw, release, stash, with_text
 from grainmill.llm.wordhash import LOWER, mix, prefix, spans, words
 
-WORDS, PERCENT, BUCKET_BITS, RANGES = 4, 85, 18, 32
+WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS = 4, 85, 18, 512, 4_000, 2
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 PLACES = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xDB4F0B9175AE2165, 0xBBE0563303A4615F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -96,10 +97,10 @@ def _prefixes(n: int, percent: int, order):
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 head = s[np.lexsort((s, count[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))][: prefix_length(len(s), percent)] if len(s) else s
                 heads.append(head.view(np.int64))
-                parts.append(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES).astype(np.int32))
+                parts.append(np.packbits(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1).tobytes())
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64))), pa.array(parts, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64))), pa.array(parts, pa.binary())],
                 ["doc_id", "n", "sig", "head", "parts"],
             )
 
@@ -125,17 +126,68 @@ def _verify(n: int, percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that link. nodes(rep, n, parts) serve the suffix filter."""
-    side = lambda c: nodes.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parts").alias(f"p{c}"))
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= F.col("na") + F.col("nb") - 2 * need).select("a", "b").distinct()
-    passed = stash(passed, "candidates")
+def _pairs(percent: int, nearest: bool):
+    """Rows (h, cell, side, rep, n, pos, label, parts) sorted by list and cell -> (a, b, apart): pairs of different labels that pass all
+    filters; if nearest, only the nearest for each of their members."""
+
+    def found(cols: list[np.ndarray]) -> pa.RecordBatch:
+        h, cell, side, rep, n, pos, label, parts = cols
+        out: list[tuple[np.ndarray, ...]] = []
+        live = np.arange(len(h) - 1)
+        for d in range(1, len(h)):
+            live = live[live + d < len(h)]
+            live = live[(h[live] == h[live + d]) & (cell[live] == cell[live + d])]
+            if not len(live):
+                break
+            x, y = live, live + d
+            ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] < 0))
+            x, y = x[ok], y[ok]
+            need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need)
+            x, y, need = x[ok], y[ok], need[ok]
+            apart = np.bitwise_count(parts[x] ^ parts[y]).sum(1, dtype=np.int64)
+            ok = apart <= n[x] + n[y] - 2 * need
+            if ok.any():
+                out.append((rep[x[ok]], rep[y[ok]], apart[ok]))
+        a, b, apart = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        if nearest:
+            a, b, apart = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+            order = np.lexsort((b, apart, a))
+            order = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
+        else:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (a, b, apart)], ["a", "b", "apart"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            data, bounds = raw(batch.column(7))
+            cols = [batch.column(i).to_numpy() for i in range(7)]
+            cols.append(data[bounds[0] : bounds[-1]].reshape(batch.num_rows, -1).view(np.uint64))
+            held.append(cols)
+            size += batch.num_rows
+            if size > 4 * CELL:  # all but the last list, which the next batch may go on with
+                cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
+                cut = int(np.flatnonzero(last)[0])
+                if cut:
+                    yield found([c[:cut] for c in cols])
+                held, size = [[c[cut:] for c in cols]], len(last) - cut
+        if size:
+            yield found([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of pairs(a, b) that link; written to the shared folder."""
+    passed = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     asked = stash(passed.select(F.col("a").alias("rep")).union(passed.select(F.col("b").alias("rep"))).distinct(), "asked")
     texts = stash(with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).join(bounded(asked), "rep"), "texts")
     both = passed.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    out = stash(map_arrow(both.select("a", "b", "ta", "tb"), _verify(n, percent), "a long, b long"), "links")
+    out = stash(map_arrow(both.select("a", "b", "ta", "tb"), _verify(n, percent), "a long, b long").distinct(), "links")
     release(docs.sparkSession, passed, asked, texts)
     return out
 
@@ -153,41 +205,40 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     count = np.zeros(1 << BUCKET_BITS, np.int64)
     count[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     order = spark.sparkContext.broadcast(count)
-    sets = stash(map_arrow(rows, _prefixes(n, percent, order), "doc_id long, n int, sig binary, head array<long>, parts array<int>"), "sets")
+    sets = stash(map_arrow(rows, _prefixes(n, percent, order), "doc_id long, n int, sig binary, head array<long>, parts binary"), "sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "head", "parts"), "doc_id").alias("x"))
     nodes = stash(classes.select("sig", "rep", "x.n", "x.head", "x.parts"), "nodes")
     release(spark)
 
     heads = nodes.select("rep", "n", F.posexplode("head").alias("pos", "h"))
-    one_list = Window.partitionBy("h")
-    lists = heads.withColumns({"size": F.count("*").over(one_list), "pivot": F.min(F.struct("n", "rep", "pos")).over(one_list)}).where("size > 1")
-    lists = stash(lists.select("h", "rep", "n", "pos", "pivot"), "lists")
+    met = heads.withColumn("size", F.count("*").over(Window.partitionBy("h"))).where("size > 1")
+    met = stash(met, "lists")
     release(spark)
-
-    def may_link(na, pa_, nb, pb):
-        """Length and positional filter; right for the first n-gram that two prefixes share."""
-        need = F.ceil(F.lit(percent) * (na + nb) / (100 + percent))
-        return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (1 + F.least(na - pa_ - 1, nb - pb - 1) >= need)
-
-    first = lists.where((F.col("rep") != F.col("pivot.rep")) & may_link(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos")))
-    first = first.groupBy("rep", F.col("pivot.rep").alias("to")).agg(F.count("*").alias("k")).groupBy("rep").agg(F.max_by("to", F.struct("k", -F.col("to"))).alias("to"))
-    links = verified(docs, first.select(F.col("to").alias("a"), F.col("rep").alias("b")), nodes, n, percent)
-    joined = components(links)
-
-    labelled = lists.drop("pivot").join(joined.select(F.col("node").alias("rep"), "root"), "rep", "left").select("h", "rep", "n", "pos", F.coalesce("root", "rep").alias("label"))
-    tally = labelled.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("label", "k").alias("major"), F.count("*").alias("labels")).where("labels > 1").select("h", "major")
-    open_lists = stash(labelled.join(tally, "h"), "open")
-    # a pair of two labels has a member outside its list's largest label
-    x = open_lists.where("label <> major").select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
-    y = open_lists.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), (F.col("label") == F.col("major")).alias("most"))
-    meet = (F.col("la") != F.col("lb")) & (F.col("most") | (F.col("a") < F.col("b"))) & may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"))
-    rest = x.join(y, (x["h"] == y["h"]) & meet).select("a", "b")
-    more = verified(docs, rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.lit(1).alias("one")).select("a", "b"), nodes, n, percent)
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    lists = met.join(nodes.select("rep", "parts"), "rep").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
+    # a list of one block is one cell; of more, every pair of blocks is one, block pairs (i, i) compared within
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least(k, F.col("own")) * 65536 + F.greatest(k, F.col("own"))).alias("cell"), F.when(k == F.col("own"), -1).otherwise(F.col("own")).alias("side")))
+    lists = stash(lists.select("h", F.explode(cells).alias("c"), "rep", "n", "pos", "parts").select("h", "c.cell", "c.side", "rep", "n", "pos", "parts"), "cells")
+    release(spark, met)
+
+    links = None
+    for k in range(ROUNDS + 1):
+        if links is None:
+            labelled = lists.withColumn("label", F.col("rep"))
+        else:
+            joined = components(links)
+            labelled = lists.join(bounded(joined.select(F.col("node").alias("rep"), "root")), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
+        placed = labelled.select("h", "cell", "side", "rep", "n", "pos", "label", "parts").repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "rep")
+        pairs = map_arrow(placed, _pairs(percent, k < ROUNDS), "a long, b long, apart long")
+        if k < ROUNDS:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+        new = verified(docs, pairs.select("a", "b"), n, percent)
+        links = new if links is None else stash(links.union(new).distinct(), "links")
     same_id = nodes.select("sig", "rep")  # rows of one id with several sets are tied below
     ties = sets.where("n > 0 and doc_id is not null").join(same_id, "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = sets.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("sig").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
-    every = links.union(more).union(ties.join(twice, "a").distinct())
+    every = links.union(ties.join(twice, "a").distinct())
     final = stash(components(every), "components")
-    release(spark, lists, open_lists)
+    release(spark, lists)
     out = sets.join(same_id, "sig", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
