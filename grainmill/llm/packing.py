@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import blocks, bounded, map_arrow, raw, stash, with_text
-from grainmill.llm.tokens import Cache, texts_of
+from grainmill.llm.tokens import text_encoder, texts_of
 
-CAPACITY, END_ID, ROUNDS, RATE = 1024, 2, 160, 0.5
+CAPACITY, END_ID, ROUNDS, RATE, STEP = 1024, 2, 300, 2.0, 0.5
 
 
 def default_vocabulary() -> str:
@@ -31,9 +31,9 @@ def default_vocabulary() -> str:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> Cache:
+def vocabulary(path: str):
     """The tokenizers library reads the file; its vocabulary in order of ids gives the merge ranks by which tiktoken encodes, at a fraction
-    of the time for short texts. The first texts of every worker are encoded by both, and where they differ all are left to tokenizers."""
+    of the time. The first texts of every worker are encoded by both, and where they differ all are left to tokenizers."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,14 +52,15 @@ def vocabulary(path: str) -> Cache:
     special = set(t.get_added_tokens_decoder())
     ranks = {bytes(byte[c] for c in w): i for w, i in t.get_vocab().items() if i not in special}
     quick = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    same: list[bool] = []
+    fast, checked = text_encoder(quick, lambda chunk: slow([chunk])[0]), []
 
-    def many(texts: list[str]) -> list[list[int]]:
-        if not same and texts:
-            same.append(slow(texts[:2000]) == [quick.encode_ordinary(x) for x in texts[:2000]])
-        return [quick.encode_ordinary(x) for x in texts] if same and same[0] else slow(texts)
+    def ids(texts: list[str]) -> list[list[int]]:
+        if not checked and texts:
+            some = [t[:20_000] for t in texts[:50]]
+            checked.append(slow(some) == fast(some))
+        return fast(texts) if checked and checked[0] else slow(texts)
 
-    return Cache(many, lambda chunk: slow([chunk])[0])
+    return ids
 
 
 def dearest(lengths: np.ndarray, prices: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
@@ -85,31 +86,31 @@ def dearest(lengths: np.ndarray, prices: np.ndarray, limit: np.ndarray, capacity
     return {i: min(n, int(limit[i])) for i, n in used.items()}
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """[(pattern: length -> times, sequences)] that hold exactly the histogram's pieces."""
-    lengths = np.array(sorted(histogram), np.int64)
-    count = np.array([histogram[int(x)] for x in lengths], np.int64)
+def relaxed(lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple, float], np.ndarray]:
+    """Amounts of patterns, and how much of each length they cover: multiplicative weights. Every round takes the dearest pattern until a
+    share STEP of its scarcest length is covered, and lowers the prices of what it holds."""
+    prices, covered = lengths / capacity, np.zeros(len(lengths))
+    amounts: dict[tuple, float] = {}
+    for _ in range(rounds):
+        pattern = dearest(lengths, prices, count, capacity)
+        step = STEP * min(count[i] / n for i, n in pattern.items())
+        amounts[key] = amounts.get(key := tuple(sorted(pattern.items())), 0.0) + step
+        for i, n in pattern.items():
+            covered[i] += step * n / count[i]
+            prices[i] *= np.exp(-RATE * step * n / count[i])
+    return amounts, covered
+
+
+def rounded(lengths: np.ndarray, count: np.ndarray, capacity: int, amounts: dict[tuple, float], scale: float) -> list[tuple[dict[int, int], int]]:
+    """The amounts divided by scale and rounded down; what is left goes longest first, gaps filled by the longest length that fits."""
     left, plan = count.copy(), []
-    if len(lengths):
-        prices, covered = lengths / capacity, np.zeros(len(lengths))
-        amounts: dict[tuple, float] = {}
-        for _ in range(rounds):
-            pattern = dearest(lengths, prices, count, capacity)
-            if not pattern:
-                break
-            step = min(count[i] / n for i, n in pattern.items())  # until the scarcest length is covered once
-            amounts[key] = amounts.get(key := tuple(sorted(pattern.items())), 0.0) + step
-            for i, n in pattern.items():
-                covered[i] += step * n / count[i]
-                prices[i] *= np.exp(-RATE * step * n / count[i])
-        scale = max(1.0, float(np.average(covered, weights=lengths * count)))
-        for key, x in sorted(amounts.items(), key=lambda a: -a[1] * sum(lengths[i] * n for i, n in a[0])):
-            times = min(int(x / scale), *(int(left[i] // n) for i, n in key))
-            # a pattern with a gap that left-over pieces could fill is left to the second part
-            if times and sum(lengths[i] * n for i, n in key) >= capacity - 1:
-                plan.append(({int(lengths[i]): n for i, n in key}, times))
-                for i, n in key:
-                    left[i] -= n * times
+    for key, x in sorted(amounts.items(), key=lambda a: -a[1] * sum(lengths[i] * n for i, n in a[0])):
+        times = min(int(x / scale), *(int(left[i] // n) for i, n in key))
+        # a pattern with a gap that left-over pieces could fill is left to the second part
+        if times and sum(lengths[i] * n for i, n in key) >= capacity - 1:
+            plan.append(({int(lengths[i]): n for i, n in key}, times))
+            for i, n in key:
+                left[i] -= n * times
     while left.any():
         room, pattern = capacity, {}
         i = int(np.flatnonzero(left)[-1])
@@ -126,6 +127,18 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     return plan
 
 
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """[(pattern: length -> times, sequences)] that hold exactly the histogram's pieces: the best of several roundings of the program's solution."""
+    lengths = np.array(sorted(histogram), np.int64)
+    count = np.array([histogram[int(x)] for x in lengths], np.int64)
+    if not len(lengths):
+        return []
+    amounts, covered = relaxed(lengths, count, capacity, rounds)
+    most, mean = float(covered.max()), float(np.average(covered, weights=lengths * count))
+    plans = [rounded(lengths, count, capacity, amounts, scale) for scale in (mean, most, 2 * most, 4 * most, 16 * most)]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
 def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """length -> rows (first rank, pieces a sequence, first sequence, offset in the sequence)."""
     out: dict[int, list] = {}
@@ -145,14 +158,13 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int) -> DataFr
     """One row a piece; `task` and `nth` number the pieces of a length within an input partition."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        cache, seen, task = vocabulary(vocabulary_path), {}, TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
+        encode, seen, task = vocabulary(vocabulary_path), {}, TaskContext.get().partitionId()
         for batch in batches:
             _, bounds = raw(batch.column(1))
             for first, last in blocks(bounds):
                 rows: list[tuple] = []
-                for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), cache.ids(texts_of(batch.column(1), first, last)), strict=True):
-                    ids += end
+                for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), encode(texts_of(batch.column(1), first, last)), strict=True):
+                    ids = np.array([*ids, END_ID], "<u4").tobytes()
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
                         n = len(part) // 4

@@ -1,5 +1,5 @@
-"""Byte-level BPE: text is cut before spaces that follow a character other than white space, where no match of the split pattern can
-reach across; what lies between is encoded once and remembered in a bounded cache. Decoding joins the raw bytes of the ids."""
+"""Byte-level BPE by tiktoken with a local rank file. Long texts are cut before spaces that follow a character other than white space,
+where no match of the split pattern can reach across. Decoding joins the raw bytes of the ids."""
 
 from __future__ import annotations
 
@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 
 from grainmill.llm.common import blocks, map_arrow, raw, with_text
 
-#: Entries of the cache, and the longest text that is remembered; longer ones are split by the pattern.
-CACHE_ENTRIES, CACHED_CHARS, LONG_CHARS, LONG_PIECE = 250_000, 64, 2_048, 1_024
+#: Characters of the parts of long texts, and of a run from which on matches are merged with a heap.
+LONG_TEXT, LONG_PIECE = 100_000, 1_024
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def default_ranks() -> str:
@@ -66,34 +67,44 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Cache(dict):
-    """chunk -> ids as little-endian uint32 bytes; filled for many new chunks at once."""
-
-    def __init__(self, encode_many, long_text):
-        super().__init__()
-        self.encode_many, self.long_text = encode_many, long_text
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids."""
-        chunks = [safe_chunks(t) for t in texts]
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        new = list({c for cs in chunks for c in cs if c not in self and len(c) <= LONG_CHARS})
-        long_lived = {}
-        for c, ids in zip(new, self.encode_many(new), strict=True):
-            (self if len(c) <= CACHED_CHARS else long_lived)[c] = np.asarray(ids, "<u4").tobytes()
-        out = []
-        for cs in chunks:
-            try:
-                out.append(b"".join(map(self.__getitem__, cs)))
-            except KeyError:
-                out.append(b"".join(self.get(c) or long_lived.get(c) or np.asarray(self.long_text(c), "<u4").tobytes() for c in cs))
-        return out
+def text_encoder(enc, long_text):
+    """A function from texts to lists of ids. Long texts are cut into parts at safe places, and parts with a run
+    of LONG_PIECE characters that one match may cover go to long_text, which splits by the pattern first."""
+
+    def parts(text: str) -> Iterable[str]:
+        held, size = [], 0
+        for chunk in safe_chunks(text):
+            held.append(chunk)
+            size += len(chunk)
+            if size >= LONG_TEXT:
+                yield "".join(held)
+                held, size = [], 0
+        yield "".join(held)
+
+    def whole(text: str) -> list[int]:
+        if len(text) < LONG_PIECE:
+            return enc.encode_ordinary(text)
+        if len(text) > 2 * LONG_TEXT:
+            return [i for p in parts(text) for i in part(p)]
+        return part(text)
+
+    def part(text: str) -> list[int]:
+        if longest_run(text) < LONG_PIECE:
+            return enc.encode_ordinary(text)
+        return [i for c in safe_chunks(text) for i in (enc.encode_ordinary(c) if len(c) < LONG_PIECE else long_text(c))]
+
+    return lambda texts: [whole(t) for t in texts]
+
+
+def longest_run(text: str) -> int:
+    """Bytes of the longest run of ASCII white space or of other bytes."""
+    turns = np.flatnonzero(np.diff(SPACE[np.frombuffer(text.encode(), np.uint8)]))
+    return int(np.diff(np.concatenate([[-1], turns, [len(text.encode()) - 1]])).max())
 
 
 @lru_cache(maxsize=4)
 def rank_encoder(path: str, pattern: str):
-    """(cache, bytes of each id) of a local rank file, encoded by tiktoken."""
+    """(function from texts to ids, tiktoken encoding) of a local rank file."""
     import tiktoken
 
     with open(path, "rb") as f:
@@ -103,10 +114,10 @@ def rank_encoder(path: str, pattern: str):
     def long_text(chunk: str) -> list[int]:
         out: list[int] = []
         for m in split.findall(chunk):
-            out += enc.encode_ordinary(m) if len(m) <= LONG_PIECE else merge_long(m.encode(), ranks)
+            out += enc.encode_ordinary(m) if len(m) < LONG_PIECE else merge_long(m.encode(), ranks)
         return out
 
-    return Cache(lambda chunks: [enc.encode_ordinary(c) for c in chunks], long_text), enc
+    return text_encoder(enc, long_text), enc
 
 
 def texts_of(column: pa.Array, first: int, last: int) -> list[str]:
@@ -131,12 +142,12 @@ def _encode(docs: DataFrame, ranks: str | None, pattern: str | None, digests: bo
     ranks, pattern = ranks or default_ranks(), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterable[pa.RecordBatch]):
-        cache, enc = rank_encoder(ranks, pattern)
+        encode, enc = rank_encoder(ranks, pattern)
         names = [str(i) for i in range(enc.n_vocab)]
         for batch in batches:
             _, bounds = raw(batch.column(1))
             for first, last in blocks(bounds):
-                ids = [np.frombuffer(x, "<u4").tolist() for x in cache.ids(texts_of(batch.column(1), first, last))]
+                ids = encode(texts_of(batch.column(1), first, last))
                 back = [enc.decode_bytes(x) for x in ids]
                 doc = batch.column(0).slice(first, last - first)
                 if digests:
