@@ -1,5 +1,5 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL, without the corpus operators."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+from grainmill.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
