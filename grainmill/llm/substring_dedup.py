@@ -209,7 +209,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_R
 def replace_text(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with the kept bytes as text, in the same columns: rows that lose nothing are as before, null texts too. Where a removal cuts a
     character of several bytes in two, its remaining bytes go as well. n_chars, if there is one, is the new text's length."""
-    gone = removed_spans(docs, length, hot_rows).select(F.col("doc").alias("_doc"), F.col("tag").alias("_t"), "spans")
+    gone = removed_spans(docs, length, hot_rows).select(F.col("doc").alias("_doc"), F.col("tag").alias("_t"), F.col("spans").alias("_spans"))
     names = docs.columns
     rows = docs.withColumn("_tag", F.shiftright(F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))), 40))
     joined = rows.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_t")), "left")
@@ -230,7 +230,7 @@ def replace_text(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS
                 sizes.append(len(out[-1]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : -1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "_n"])
 
-    flat = joined.select(*names, "spans")
+    flat = joined.select(*names, "_spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n long"
     done = map_arrow(flat, cut, schema)
     if "n_chars" in names:
