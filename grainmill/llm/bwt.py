@@ -14,18 +14,26 @@ import numpy as np
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Prefix doubling until all ranks differ; the text has to end with a symbol that occurs once."""
     n = len(text)
-    rank = text.astype(np.int64)
-    k = 1
+    # the first ranks are of several symbols together, in one word
+    bits = int(text.max()).bit_length() + 1
+    k = max(1, 62 // bits)
+    rank = np.zeros(n, np.int64)
+    for i in range(k):
+        rank <<= bits
+        rank[: n - i] |= text[i:] + 1
     while True:
-        follow = np.zeros(n, np.int64)
-        follow[: n - k] = rank[k:] + 1
-        key = rank * (int(rank.max()) + 2) + follow
-        sa = np.argsort(key)
-        ordered = key[sa]
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        sa = np.argsort(rank)
+        ordered = rank[sa]
+        dense = np.empty(n, np.int64)
+        dense[sa] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        rank = dense
         if rank[sa[-1]] == n - 1:
             return sa
+        if k >= n:
+            raise ValueError("the text has to end with a symbol that occurs once")
+        follow = np.zeros(n, np.int64)
+        follow[: n - k] = rank[k:] + 1
+        rank = rank * (int(rank.max()) + 2) + follow
         k *= 2
 
 

@@ -22,7 +22,7 @@ from grainmill.llm.common import map_arrow, raw, release, stash
 from grainmill.llm.wordhash import BASE, VALUES, mix, prefix, spans
 
 LENGTH, GRAM, RUN, HOT_ROWS = 50, 16, 64, 50_000
-BLOCK, SHARD_BYTES = 1 << 15, 1 << 20
+BLOCK, SHARD_BYTES = 1 << 15, 1 << 17
 
 
 def names(data: np.ndarray, length: int) -> np.ndarray:
