@@ -491,3 +491,66 @@ def dbscan_clusters(t):
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def rate_gauge(t):
     return gauge.rate_gauge(t.events, "ts", "event_type", "1 hour", "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+# ---- objects seen in several frames
+
+TRACKS = "p AS (SELECT vec_id % 97 AS k, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"
+
+
+def _tracks(t):
+    return _points(t).withColumn("k", F.col("vec_id") % 97)
+
+
+@query(f"""WITH RECURSIVE {TRACKS}, v AS (SELECT DISTINCT k, floor(x / 0.1) AS a, floor(y / 0.1) AS b, floor(z / 0.1) AS c FROM p), n AS (SELECT k, count(*) AS n FROM v GROUP BY 1),
+    i AS (SELECT v.k, w.k AS l, count(*) AS x FROM v JOIN v w USING (a, b, c) WHERE v.k <> w.k GROUP BY ALL),
+    e AS (SELECT i.k AS a, i.l AS b FROM i JOIN n ON n.k = i.k JOIN n m ON m.k = i.l WHERE i.x / (n.n + m.n - i.x) >= 0.32),
+    r AS (SELECT k, k AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.k) SELECT k AS track, min(root) AS root FROM r GROUP BY 1""")
+def voxel_iou_merge(t):
+    return geometry.voxel_merge(_tracks(t), "k", ["x", "y", "z"], 0.1, 0.32).withColumnRenamed("k", "track")
+
+
+@query(f"""WITH RECURSIVE {TRACKS}, m AS (SELECT k, median(x) AS x, median(y) AS y, median(z) AS z FROM p GROUP BY 1),
+    e AS (SELECT a.k AS a, b.k AS b FROM m a, m b WHERE a.k <> b.k AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0001),
+    r AS (SELECT k, k AS root FROM m UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.k) SELECT k AS track, min(root) AS root FROM r GROUP BY 1""")
+def centroid_merge(t):
+    return geometry.centroid_merge(_tracks(t), "k", ["x", "y", "z"], 0.01).withColumnRenamed("k", "track")
+
+
+@query("""WITH RECURSIVE p AS (SELECT vec_id AS k, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) AS low, CAST(embedding[5] AS DOUBLE) AS high FROM embeddings),
+    e AS (SELECT a.k AS a, b.k AS b FROM p a, p b WHERE a.k <> b.k AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.0009),
+    r AS (SELECT DISTINCT a AS k, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.k), c AS (SELECT k, min(root) AS cluster FROM r GROUP BY 1)
+    SELECT cluster, count(DISTINCT label) AS n_frames, count(*) AS n_detections, round(median(x), 4) AS x, round(median(y), 4) AS y, round(median(z), 4) AS z, round(median(low), 4) AS low, round(median(high), 4) AS high FROM c JOIN p USING (k) GROUP BY 1""")
+def grounding_union(t):
+    boxes = t.embeddings.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(["x", "y", "z", "low", "high"])))
+    return geometry.grounded_objects(boxes, "vec_id", "label", ["x", "y", "z"], ["low", "high"], 0.03, 2)
+
+
+@query("""WITH p AS (SELECT label, CAST(floor(embedding[1] * 64) AS BIGINT) AS r, CAST(floor(embedding[2] * 64) AS BIGINT) AS c, min(CAST(embedding[3] AS DOUBLE)) AS d FROM embeddings GROUP BY ALL),
+    z AS (SELECT r, c, min(d) AS z FROM p GROUP BY ALL) SELECT label, count(*) AS n_pixels, min(r) AS top, max(r) AS bottom, min(c) AS left, max(c) AS right FROM p JOIN z USING (r, c) WHERE d <= z + 0.02 GROUP BY 1""")
+def occlusion_visible(t):
+    points = t.embeddings.select("label", F.col("embedding")[0].alias("r"), F.col("embedding")[1].alias("c"), F.col("embedding")[2].cast("double").alias("d"))
+    return geometry.visible_regions(points, "label", F.floor(F.col("r") * 64), F.floor(F.col("c") * 64), "d", 0.02)
+
+
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_size BETWEEN 10 AND 30 AND p_retailprice BETWEEN 950 AND 1500 GROUP BY 1")
+def box_extract(t):
+    return geometry.in_box(t.part, {"p_size": 10, "p_retailprice": 950}, {"p_size": 30, "p_retailprice": 1500}).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, count(DISTINCT vec_id) AS n_objects, max(2 * list_max(CAST(embedding[1:3] AS DOUBLE[]))) AS longest FROM embeddings GROUP BY 1")
+def object_size(t):
+    edges = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    return t.embeddings.groupBy("label").agg(F.count_distinct("vec_id").alias("n_objects"), F.max(2 * F.array_max(edges)).alias("longest"))
+
+
+@query("SELECT user_id, max(ts) AS last_at FROM events GROUP BY 1 HAVING max(ts) >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def liveness(t):
+    return gauge.live_keys(t.events, "ts", "user_id", 2 * 86400)
+
+
+@query("""WITH g AS (SELECT event_type, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    s AS (SELECT *, sum(cut) OVER (PARTITION BY event_type ORDER BY ts) AS run FROM g) SELECT event_type, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n FROM s GROUP BY event_type, run""")
+def stall_alarm(t):
+    out = gauge.stalls(t.events, "ts", "event_type", 30)
+    return out.select("event_type", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "n")

@@ -80,3 +80,24 @@ def test_scalar_functions(spark):
     assert one.select(fn.increasing(a), fn.increasing(F.array(F.lit(1), F.lit(1)))).first()[:] == (True, False)
     assert one.select(fn.within(F.lit(105), F.lit(100), 5), fn.within(F.lit(1), F.lit(0), 5)).first()[:] == (True, False)
     assert one.select(fn.half_even(F.lit(2.5), 0)).first()[0] == 2.0
+
+
+def test_point_triangle_distance_by_sampling(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from grainmill.operators.geometry import point_triangle_squared
+
+    rng = np.random.default_rng(3)
+    cases = rng.normal(size=(60, 12))
+    cases[0, 3:12] = np.tile(cases[0, 3:6], 3)  # no area, no length
+    cases[1, 9:12] = (cases[1, 3:6] + cases[1, 6:9]) / 2  # three points of a line
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(cases)], "i long, " + ", ".join(f"c{j} double" for j in range(12)))
+    cols = [[F.col(f"c{j}") for j in range(k, k + 3)] for k in (0, 3, 6, 9)]
+    got = dict(df.select("i", point_triangle_squared(*cols)).collect())
+    u, v = np.meshgrid(np.linspace(0, 1, 401), np.linspace(0, 1, 401))
+    u, v = u[u + v <= 1.0000001], v[u + v <= 1.0000001]
+    for i, r in enumerate(cases):
+        p, a, b, c = r.reshape(4, 3)
+        near = ((a + u[:, None] * (b - a) + v[:, None] * (c - a) - p) ** 2).sum(1).min()
+        assert got[i] <= near + 1e-9 and abs(got[i] ** 0.5 - near**0.5) < 0.02

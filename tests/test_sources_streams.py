@@ -47,3 +47,25 @@ def test_gauge_and_watchdog_on_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r["key"], r["n"]) for r in spark.table("alarms").collect()] == [("a", 2)]
+
+
+def test_health_steps():
+    from grainmill.streaming.gauge import health_steps
+
+    go, state, said = health_steps(total=8, floor=2, step=2, within_s=60, least=2, watch_s=900), None, []
+    for row in [(0, "tick", None), (5, "ramp", 10), (6, "ramp", 12), (910, "refusal", None), (920, "refusal", None), (930, "tick", None), (940, "tick", None), (1000, "ramp", 4), (1829, "tick", None), (1830, "tick", None), (1831, "ramp", 5), (1832, "ramp", 4)]:
+        state, action = go(state, *row)
+        said += [(action, state[1])] if action else []
+    assert said == [("watching", 8), ("ramped", 10), ("refused", 10), ("downscaled", 2), ("watching", 2), ("refused", 2), ("watching", 2), ("storm_cleared", 2), ("refused", 2), ("ramped", 4)]
+
+
+def test_health_gate_stream(spark, tmp_path):
+    from grainmill.streaming.gauge import health_gate, health_steps
+
+    rows = [("a", 1, "refusal", None), ("a", 2, "refusal", None), ("a", 3, "tick", None), ("b", 3, "tick", None), ("b", 4, "ramp", 9)]
+    spark.createDataFrame(rows, "who string, t long, kind string, wanted long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("who string, t long, kind string, wanted long").parquet(str(tmp_path / "in"))
+    out = health_gate(stream, "who", health_steps(8, 2, 2, 60, 2, 900))
+    done = out.writeStream.format("memory").queryName("gate").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert done.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("gate").collect())) == [("a", 3, "downscaled", 2), ("b", 3, "watching", 8), ("b", 4, "ramped", 9)]
