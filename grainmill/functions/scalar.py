@@ -66,3 +66,47 @@ def answer_of(text: Column) -> Column:
     """The only <answer> block of a text; null if there is none or more than one."""
     found = F.regexp_extract_all(text, F.lit(r"<answer>([^<]*)</answer>"))
     return F.when(F.size(found) == 1, F.trim(F.get(found, F.lit(0))))
+
+
+def cited_lines(text: Column) -> Column:
+    """Array of (source, line) that citations such as E1.L2 and E1.L2-L5 name; a range that runs backwards names none."""
+    found = F.regexp_extract_all(text, F.lit(r"(E[0-9]+\.L[0-9]+(?:-L[0-9]+)?)"))
+    part = lambda c, i: F.regexp_extract(c, r"^(E[0-9]+)\.L([0-9]+)(?:-L([0-9]+))?$", i)
+    first = lambda c: part(c, 2).cast("long")
+    last = lambda c: F.coalesce(F.nullif(part(c, 3), F.lit("")).cast("long"), first(c))
+    lines = lambda c: F.when(first(c) <= last(c), F.sequence(first(c), F.greatest(first(c), last(c)))).otherwise(F.array().cast("array<bigint>"))
+    return F.flatten(F.transform(found, lambda c: F.transform(lines(c), lambda i: F.struct(part(c, 1).alias("source"), i.alias("line")))))
+
+
+def places(number: Column) -> Column:
+    """Digits after the point of a printed number."""
+    return F.length(F.split_part(number, F.lit("."), F.lit(2)))
+
+
+def printed_tolerance(number: Column) -> Column:
+    """Half a unit of the last printed digit."""
+    return F.lit(0.5) * F.pow(F.lit(10.0), -places(number))
+
+
+def rounded_or_refused(x: Column, digits: int) -> Column:
+    """A decimal rounded half-even; null at an exact midpoint, which the printed form cannot tell from its neighbours."""
+    return F.when(F.abs(F.round(x, digits) - x) * 2 * 10**digits != 1, F.bround(x, digits))
+
+
+def backoff(attempt: Column, after: Column, most: int) -> Column:
+    """Seconds to wait: doubled with every attempt up to `most`, and never less than the server asks for."""
+    return F.greatest(F.least(F.lit(most), F.pow(F.lit(2.0), attempt)).cast("long"), F.coalesce(after, F.lit(0)).cast("long"))
+
+
+def same_score(stored: Column, again: Column) -> Column:
+    """Equal within half a hundredth after both are rounded to two places."""
+    return F.abs(F.round(stored, 2) - F.round(again, 2)) <= 0.005 + 1e-10
+
+
+def has_field(json: Column, names: list[str]) -> Column:
+    """Whether a JSON text has a key, at any depth, that one of the patterns matches."""
+    return json.rlike('"(' + "|".join(names) + r')"\s*:')
+
+
+def preview(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(" [cut]"))).otherwise(text)

@@ -85,3 +85,19 @@ def capped_greedy(df: DataFrame, order: list[str], caps: dict[str, int], n: int,
             yield batch.iloc[keep]
 
     return df.orderBy(*order).coalesce(1).mapInPandas(scan, schema)
+
+
+def with_endpoints(df: DataFrame, keys: list[str], at: str, best: list[Column], k: int) -> DataFrame:
+    """Every group's first and last row by `at`, and the k best rows between them."""
+    group = Window.partitionBy(*keys)
+    end = (F.col(at) == F.min(at).over(group)) | (F.col(at) == F.max(at).over(group))
+    ranked = df.withColumn("_end", end).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_end").orderBy(*best, at)))
+    return ranked.where(F.col("_end") | (F.col("_r") <= k)).drop("_end", "_r")
+
+
+def evenly_spaced(df: DataFrame, group: str, at: str, k: int) -> DataFrame:
+    """k rows of every group at the places i (n - 1) div (k - 1) of its order, first and last included; fewer where places fall together."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("_n") - 1) / (k - 1)))
+    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(at)) - 1)
+    return ranked.join(sizes.select(group, places.alias("_p")), group).where(F.array_contains("_p", F.col("_i").cast("long"))).drop("_i", "_p")

@@ -1,5 +1,6 @@
 """All registered queries and their SQL, without the corpus operators."""
 
+from grainmill.plans import measures as _measures  # noqa: F401  adds its queries to the catalogue
 from grainmill.plans.catalog import FLAGSHIP, ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
