@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import scalar as fn
 from grainmill.functions import vector
-from grainmill.operators import measure, select
+from grainmill.operators import area, measure, select
 from grainmill.plans.catalog import _cents, query
 
 # ---- aggregates
@@ -210,3 +210,21 @@ def bearing_sectors(t):
     (SELECT count(*) FROM p WHERE p.label = m.label AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1) AS inside FROM m""")
 def trimmed_boxes(t):
     return measure.trimmed_boxes(_xyz(t), "label", ["x", "y", "z"], 0.05, 30)
+
+
+@query()
+def floor_area_union(t):
+    corners = t.embeddings.select("label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(area.CORNERS)))
+    return area.union_area(corners, "label", 0.25).withColumn("area", F.round("area", 6))
+
+
+@query()
+def alpha_area_sensitivity(t):
+    return area.alpha_area(_xyz(t), "label", "x", "y", [0.02, 0.05, 0.1, 0.2]).withColumn("area", F.round("area", 6))
+
+
+@query()
+def room_footprints(t):
+    wide = _xyz(t).select((F.col("vec_id") % 2).alias("scene"), *((F.col(c) * 10).alias(c) for c in "xy"), (F.col("z") * 3).alias("z"))
+    out = area.room_footprint(wide, "scene", ["x", "y", "z"], least=20)
+    return out.select("scene", "n_points", "fragmented", *(F.round(c, 6).alias(c) for c in ("floor_z", "tight", "loose", "area")))
