@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def normal_text(text: Column) -> Column:
@@ -110,3 +115,32 @@ def has_field(json: Column, names: list[str]) -> Column:
 
 def preview(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(" [cut]"))).otherwise(text)
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode normal form C, which Spark has no function for."""
+    return text.map(lambda s: s if s is None else unicodedata.normalize("NFC", s))
+
+
+def one_spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, "[ \t\n\r\f\x0b]+", " "))
+
+
+def slot_names(text: Column, vocabulary: list[str]) -> Column:
+    """The vocabulary's words in a text, longest first where several begin at one place, each once, by first appearance."""
+    words = "|".join(re.escape(w) for w in sorted(vocabulary, key=lambda w: (-len(w), w)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"((?<!\w)(?:{words})(?!\w))")))
+
+
+def template(text: Column, names: Column) -> Column:
+    """The text with {slot_i} for every occurrence of names[i]; longer names first, so that none is cut by a shorter one."""
+    slots = F.array_sort(F.transform(names, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    whole = lambda w: F.concat(F.lit(r"(?<!\w)\Q"), w, F.lit(r"\E(?!\w)"))
+    return F.aggregate(slots, text, lambda s, x: F.regexp_replace(s, whole(x["w"]), F.concat(F.lit("{slot_"), x["i"], F.lit("}"))))
+
+
+def rendered(pattern: Column, names: Column) -> Column:
+    """A template with its slots filled again."""
+    filled = F.transform(names, lambda w, i: F.struct(F.concat(F.lit("{slot_"), i, F.lit("}")).alias("s"), w.alias("w")))
+    return F.aggregate(filled, pattern, lambda s, x: F.replace(s, x["s"], x["w"]))

@@ -1,9 +1,12 @@
-"""Vectors as lists of three columns: rigid transforms, projections, bearings. All are plain expressions."""
+"""Vectors as lists of three columns: rigid transforms, projections, bearings. All but the canonical frame are plain expressions."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def rigid(pose: list[list[float]], p: list[Column]) -> list[Column]:
@@ -34,3 +37,52 @@ def quadrant(x: Column, y: Column, margin: float) -> Column:
     off = F.degrees(F.atan2(F.abs(y), F.abs(x)))
     name = F.concat(F.when(y > 0, "front").otherwise("back"), F.lit("-"), F.when(x > 0, "right").otherwise("left"))
     return F.when(F.least(off, 90 - off) > margin, name)
+
+
+def _unit(v: list[Column]) -> list[Column]:
+    size = F.nullif(F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2]), F.lit(0.0))
+    return [x / size for x in v]
+
+
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def rotation(r: list[Column]) -> list[list[Column]]:
+    """The rotation of an axis-angle vector, the identity for a vector of length 0."""
+    angle = F.sqrt(_dot(r, r))
+    k = [F.coalesce(x, F.lit(0.0)) for x in _unit(r)]
+    c, s = F.cos(angle), F.sin(angle)
+    skew = [[F.lit(0.0), -k[2], k[1]], [k[2], F.lit(0.0), -k[0]], [-k[1], k[0], F.lit(0.0)]]
+    return [[(c if i == j else F.lit(0.0)) + (1 - c) * k[i] * k[j] + s * skew[i][j] for j in range(3)] for i in range(3)]
+
+
+def camera_to_world(r: list[Column], t: list[Column]) -> list[list[Column]]:
+    """The 3 x 4 pose that undoes a world-to-camera axis-angle and translation."""
+    m = rotation(r)
+    return [[m[0][i], m[1][i], m[2][i], -(m[0][i] * t[0] + m[1][i] * t[1] + m[2][i] * t[2])] for i in range(3)]
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def canonical_frame(pose: pd.Series, up: pd.Series) -> pd.Series:
+    """The 3 x 4 transform, row by row, to axes with the camera of a 3 x 4 pose (row by row) at the origin, +Z up and +Y its heading; a
+    camera that looks along the vertical gives its heading by its right axis. Null where neither axis has a horizontal part, or the
+    pose or up is null, not finite or of another length. numpy, since one nested expression would repeat its parts thousands of times."""
+    return pd.Series([_canonical(p, u) for p, u in zip(pose, up, strict=True)], dtype=object)
+
+
+def _canonical(pose, up) -> list[float] | None:
+    if pose is None or up is None or len(pose) != 12 or len(up) != 3:
+        return None
+    m, z = np.asarray(pose, float).reshape(3, 4), np.asarray(up, float)
+    size = np.linalg.norm(z)
+    if not np.isfinite(m).all() or not np.isfinite(z).all() or size < 1e-8:
+        return None
+    z = z / size
+    forward, right = (v - z * (z @ v) for v in (m[:, 2], m[:, 0]))
+    y = forward if np.linalg.norm(forward) > 1e-6 else np.cross(z, right)
+    if np.linalg.norm(y) <= 1e-6:
+        return None
+    y = y / np.linalg.norm(y)
+    axes = np.array([np.cross(y, z), y, z])
+    return np.column_stack([axes, -axes @ m[:, 3]]).ravel().tolist()

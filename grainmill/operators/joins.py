@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grainmill.functions import scalar as fn
+
 
 def interval_match(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, eps: int) -> DataFrame:
     """Pairs of equal keys with |lt - rt| <= eps (integers): equality on buckets of eps, each left row in three of them, then the residual."""
@@ -37,3 +39,13 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     b = right.select(key).distinct().withColumn("r", F.lit(1))
     state = F.when(F.col("r").isNull(), "left only").when(F.col("l").isNull(), "right only").otherwise("both")
     return a.join(b, key, "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+def citation_tiers(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id, tier: how a passage is found in a text: exact, with white space collapsed (spaces), or in normal form C as well
+    (nfc). passages is a fixed list of quotations, not a part of the corpus, and is broadcast for that reason."""
+    forms = lambda c: {"c": fn.one_spaced(F.col(c)), "n": fn.nfc(fn.one_spaced(F.col(c)))}
+    d = documents.where("text IS NOT NULL").select("doc_id", F.col("text").alias("t"), *(v.alias(f"t{k}") for k, v in forms("text").items()))
+    b = passages.where("text <> ''").select("item_id", F.col("text").alias("p"), *(v.alias(f"p{k}") for k, v in forms("text").items()))
+    exact, spaces, same = F.col("t").contains(F.col("p")), F.col("tc").contains(F.col("pc")), F.col("tn").contains(F.col("pn"))
+    return d.join(F.broadcast(b), exact | spaces | same).select("doc_id", "item_id", F.when(exact, "exact").when(spaces, "spaces").otherwise("nfc").alias("tier"))

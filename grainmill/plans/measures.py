@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import scalar as fn
 from grainmill.functions import vector
-from grainmill.operators import area, measure, select
+from grainmill.operators import area, joins, measure, select
 from grainmill.plans.catalog import _cents, query
 
 # ---- aggregates
@@ -228,3 +228,13 @@ def room_footprints(t):
     wide = _xyz(t).select((F.col("vec_id") % 2).alias("scene"), *((F.col(c) * 10).alias(c) for c in "xy"), (F.col("z") * 3).alias("z"))
     out = area.room_footprint(wide, "scene", ["x", "y", "z"], least=20)
     return out.select("scene", "n_points", "fragmented", *(F.round(c, 6).alias(c) for c in ("floor_z", "tight", "loose", "area")))
+
+
+# ---- citations
+
+
+@query(r"""WITH d AS (SELECT doc_id, text AS t, trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS c FROM documents WHERE text IS NOT NULL), b AS (SELECT item_id, text AS p, trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS q FROM benchmark WHERE text <> '')
+    SELECT item_id, CASE WHEN contains(t, p) THEN 'exact' WHEN contains(c, q) THEN 'spaces' ELSE 'nfc' END AS tier, count(*) AS n FROM d, b
+    WHERE contains(t, p) OR contains(c, q) OR contains(nfc_normalize(c), nfc_normalize(q)) GROUP BY ALL""")
+def citation_tiers(t):
+    return joins.citation_tiers(t.documents, t.benchmark).groupBy("item_id", "tier").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +53,19 @@ def write_once(df: DataFrame, path: str) -> None:
 def write_sharded(df: DataFrame, path: str, key: str, prefix: int = 2) -> None:
     """Parquet folders by the first hex digits of the key's SHA-256."""
     df.withColumn("shard", F.substring(F.sha2(F.col(key).cast("string"), 256), 1, prefix)).write.partitionBy("shard").mode("errorifexists").parquet(path)
+
+
+def read_trajectory(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, ts, rotation, translation of trajectory files: seven fields a line, blank lines left out. A line of another form, a
+    number that is not finite, or a time that does not rise within its file stops the query. A file is one row until its lines part."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "text"))
+    fields = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    rows = lines.where("trim(text) <> ''").select("path", (F.col("at") + 1).alias("line"), fields.alias("f"))
+    numbers = F.transform(F.slice("f", 2, 6), lambda x: x.try_cast("double"))
+    rows = rows.select("path", "line", F.size("f").alias("n"), F.get("f", F.lit(0)).try_cast("decimal(28,9)").alias("ts"), numbers.alias("v"))
+    before = F.lag("ts").over(Window.partitionBy("path").orderBy("line"))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = (F.col("n") == 7) & F.col("ts").isNotNull() & finite & (F.col("before").isNull() | (F.col("ts") > F.col("before")))
+    wrong = F.raise_error(F.concat(F.lit("malformed trajectory line "), F.col("line"), F.lit(" of "), F.col("path"))).cast("array<double>")
+    checked = rows.withColumn("before", before).withColumn("v", F.when(sound, F.col("v")).otherwise(wrong))
+    return checked.select("path", "line", "ts", F.slice("v", 1, 3).alias("rotation"), F.slice("v", 4, 3).alias("translation"))
