@@ -8,6 +8,9 @@ Groups of copies never give all their pairs. Documents with the same set are one
 unconnected partner only, nearest by the suffix filter's bound; after these, pairs are made between members of one list that are not
 connected yet, which loses no connection: two documents that link are in one list, and are either connected or paired. Lists of
 more than CELL members are dealt out as pairs of blocks.
+
+Links lie within components, so they are found there afterwards: each pair of different sets of a component is compared on whole sets,
+components of more than LINK_CELL sets as pairs of blocks. Copies count by the size of their class and are not paired.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import bounded, components, map_arrow, raw, release, stash, with_text
 from grainmill.llm.wordhash import LOWER, mix, prefix, spans, words
 
-WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS = 4, 85, 18, 512, 4_000, 2
+WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL = 4, 85, 18, 512, 4_000, 2, 1_000
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 PLACES = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xDB4F0B9175AE2165, 0xBBE0563303A4615F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -59,6 +62,10 @@ def gram_set(data: np.ndarray, n: int = WORDS) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def least_shared(a: int, b: int, percent: int) -> int:
     """Smallest intersection with which sets of a and b elements reach the threshold: 100 x >= percent (a + b - x)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -94,7 +101,7 @@ def _prefixes(n: int, percent: int, order):
             for text in _rows(batch.column(1)):
                 s = gram_set(text, n)
                 size.append(len(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append(signature(s))
                 head = s[np.lexsort((s, count[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))][: prefix_length(len(s), percent)] if len(s) else s
                 heads.append(head.view(np.int64))
                 parts.append(np.packbits(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1).tobytes())
@@ -192,13 +199,64 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return out
 
 
-def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id: one row for every row.
+def _links(n: int, percent: int, counted: bool):
+    """Rows (root, cell, side, sig, copies, text) sorted by root and cell -> pairs (a, b) of signatures whose sets link; if counted,
+    (sig, linked): how many rows have the sets that link with this one in the cell. Texts of other sets, as ids may repeat, are left out."""
+
+    def found(members: dict[bytes, tuple]) -> pa.RecordBatch:
+        sig = sorted(members, key=lambda k: (len(members[k][2]), k))
+        side, copies = (np.array([members[k][i] for k in sig], np.int64) for i in (0, 1))
+        size = np.array([len(members[k][2]) for k in sig], np.int64)
+        at = np.concatenate([[0], np.cumsum(size)])
+        known, ids = np.unique(np.concatenate([members[k][2] for k in sig]), return_inverse=True)
+        mine, linked, out = np.zeros(len(known), np.uint8), np.zeros(len(sig), np.int64), []
+        for i in range(len(sig) - 1):
+            end = int(np.searchsorted(percent * size, 100 * size[i], side="right"))  # larger ones cannot link
+            if end <= i + 1:
+                continue
+            mine[ids[at[i] : at[i + 1]]] = 1
+            both = np.add.reduceat(mine[ids[at[i + 1] : at[end]]], at[i + 1 : end] - at[i + 1], dtype=np.int64)
+            mine[ids[at[i] : at[i + 1]]] = 0
+            ok = (100 * both >= percent * (size[i] + size[i + 1 : end] - both)) & ((side[i + 1 : end] != side[i]) | (side[i] < 0))
+            near = i + 1 + np.flatnonzero(ok)
+            linked[i] += copies[near].sum()
+            linked[near] += copies[i]
+            if not counted:
+                out += [(sig[i], sig[j]) for j in near]
+        if counted:
+            return pa.RecordBatch.from_arrays([pa.array(sig, pa.binary()), pa.array(linked)], ["sig", "linked"])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    Sets are the distinct n-word shingles of the words between ASCII white space, A-Z lower-cased; fewer words give one shingle, none an
-    empty set, which links with nothing. Two documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id
-    that links reach. Rows that share a doc_id are one document and linked; rows without doc_id link with nothing and have a null
-    component_id. Other columns are not returned."""
+    def run(batches):
+        last, members = None, {}
+        for batch in batches:
+            root, cell, side, sig, copies = (batch.column(i).to_pylist() for i in range(5))
+            for i, text in enumerate(_rows(batch.column(5))):
+                if (root[i], cell[i]) != last:
+                    if len(members) > 1:
+                        yield found(members)
+                    last, members = (root[i], cell[i]), {}
+                if sig[i] not in members:
+                    s = gram_set(text, n)
+                    if signature(s) == sig[i]:
+                        members[sig[i]] = (side[i], copies[i], s)
+        if len(members) > 1:
+            yield found(members)
+
+    return run
+
+
+def _in_cells(df: DataFrame, most: int, key: str, *columns: str) -> DataFrame:
+    """df(size, key, columns) -> columns, cell, side. A group of up to `most` members is one cell; of more, every pair of blocks is one,
+    block pairs (i, i) compared within."""
+    blocks = F.ceil(F.col("size") / most).cast("int")
+    df = df.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64(key), blocks).cast("int")})
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least(k, F.col("own")) * 65536 + F.greatest(k, F.col("own"))).alias("cell"), F.when(k == F.col("own"), -1).otherwise(F.col("own")).alias("side")))
+    return df.select(*columns, F.explode(cells).alias("c")).select(*columns, "c.cell", "c.side")
+
+
+def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """sets(doc_id, n, sig), nodes(sig, rep, copies) and components(node, root) of their representatives."""
     spark = docs.sparkSession
     rows = with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     counted = map_arrow(rows.select("text"), _count_buckets(n), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # 2**BUCKET_BITS rows at most
@@ -206,19 +264,15 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     count[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     order = spark.sparkContext.broadcast(count)
     sets = stash(map_arrow(rows, _prefixes(n, percent, order), "doc_id long, n int, sig binary, head array<long>, parts binary"), "sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "head", "parts"), "doc_id").alias("x"))
-    nodes = stash(classes.select("sig", "rep", "x.n", "x.head", "x.parts"), "nodes")
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "head", "parts"), "doc_id").alias("x"))
+    nodes = stash(classes.select("sig", "rep", "copies", "x.n", "x.head", "x.parts"), "nodes")
     release(spark)
 
     heads = nodes.select("rep", "n", F.posexplode("head").alias("pos", "h"))
     met = heads.withColumn("size", F.count("*").over(Window.partitionBy("h"))).where("size > 1")
     met = stash(met, "lists")
     release(spark)
-    blocks = F.ceil(F.col("size") / CELL).cast("int")
-    lists = met.join(nodes.select("rep", "parts"), "rep").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("rep"), blocks).cast("int")})
-    # a list of one block is one cell; of more, every pair of blocks is one, block pairs (i, i) compared within
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct((F.least(k, F.col("own")) * 65536 + F.greatest(k, F.col("own"))).alias("cell"), F.when(k == F.col("own"), -1).otherwise(F.col("own")).alias("side")))
-    lists = stash(lists.select("h", F.explode(cells).alias("c"), "rep", "n", "pos", "parts").select("h", "c.cell", "c.side", "rep", "n", "pos", "parts"), "cells")
+    lists = stash(_in_cells(met.join(nodes.select("rep", "parts"), "rep"), CELL, "rep", "h", "rep", "n", "pos", "parts").select("h", "cell", "side", "rep", "n", "pos", "parts"), "cells")
     release(spark, met)
 
     links = None
@@ -240,5 +294,55 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     every = links.union(ties.join(twice, "a").distinct())
     final = stash(components(every), "components")
     release(spark, lists)
-    out = sets.join(same_id, "sig", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+    return sets, nodes, final
+
+
+def _labelled(sets: DataFrame, nodes: DataFrame, final: DataFrame) -> DataFrame:
+    out = sets.join(nodes.select("sig", "rep"), "sig", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    return out.select("sig", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+
+
+def _linked_sets(docs: DataFrame, nodes: DataFrame, final: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
+    """What _links finds in the components of several sets; written to the shared folder."""
+    spark = docs.sparkSession
+    members = nodes.select("sig", "rep", "copies").join(bounded(final.select(F.col("node").alias("rep"), "root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    members = stash(members, "members")
+    sizes = stash(members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    asked = stash(members.join(bounded(sizes), "root"), "asked")
+    texts = stash(with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).join(bounded(asked), "rep"), "texts")
+    release(spark, members, sizes, asked)
+    placed = _in_cells(texts, LINK_CELL, "sig", "root", "sig", "copies", "text").select("root", "cell", "side", "sig", "copies", "text")
+    placed = placed.repartition("root", "cell").sortWithinPartitions("root", "cell")
+    out = stash(map_arrow(placed, _links(n, percent, counted), "sig binary, linked long" if counted else "a binary, b binary"), "set-links")
+    release(spark, texts)
+    return out
+
+
+def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id: one row for every row.
+
+    Sets are the distinct n-word shingles of the words between ASCII white space, A-Z lower-cased; fewer words give one shingle, none an
+    empty set, which links with nothing. Two documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id
+    that links reach. Rows that share a doc_id are one document and linked; rows without doc_id link with nothing and have a null
+    component_id. Other columns are not returned."""
+    return _labelled(*_join(docs, n, percent)).select("doc_id", "n_shingles", "component_id")
+
+
+def near_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs(doc_id, text) -> a, b: a row for every two different sets that link, as in near_components, each set named by the smallest
+    doc_id that has it; a <= b, equal only where one doc_id has both."""
+    _, nodes, final = _join(docs, n, percent)
+    links = _linked_sets(docs, nodes, final, n, percent, counted=False)
+    reps = lambda k: nodes.select(F.col("sig").alias(k), F.col("rep").alias(f"rep_{k}"))
+    named = links.join(reps("a"), "a").join(reps("b"), "b")
+    return named.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
+def near_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """near_components with n_links: how many other rows, copies included, have sets that link with the row's; 0 for rows without doc_id,
+    which are not counted either."""
+    sets, nodes, final = _join(docs, n, percent)
+    linked = _linked_sets(docs, nodes, final, n, percent, counted=True).groupBy("sig").agg(F.sum("linked").alias("linked"))
+    links = stash(nodes.select("sig", "copies").join(linked, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "counts")
+    out = _labelled(sets, nodes, final).join(links, "sig", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
