@@ -115,15 +115,15 @@ def _prefixes(n: int, percent: int, order):
 
 
 def _verify(n: int, percent: int):
-    """Rows (a, b, text of a, text of b), those of one a near each other: the pairs that reach the threshold."""
+    """Rows (a, b, text of a, text of b), those of one a near each other: the pairs that reach the threshold. An id may have several texts."""
 
     def run(batches):
-        last, kept = None, np.zeros(0, np.uint64)
+        last, kept = (None, b""), np.zeros(0, np.uint64)
         for batch in batches:
             a, b, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, (x, y) in enumerate(zip(_rows(batch.column(2)), _rows(batch.column(3)), strict=True)):
-                if a[i] != last:
-                    last, kept = a[i], gram_set(x, n)
+                if (a[i], x.tobytes()) != last:
+                    last, kept = (a[i], x.tobytes()), gram_set(x, n)
                 other = gram_set(y, n)
                 both = len(np.intersect1d(kept, other, assume_unique=True))
                 if 100 * both >= percent * (len(kept) + len(other) - both):
