@@ -41,7 +41,7 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every piece of the packed sequences."""
-    return packing.best_fit_packing(docs)
+    return packing.best_fit_packing(docs, short_first=True)
 
 
 STAGES = [

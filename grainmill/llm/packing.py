@@ -154,7 +154,13 @@ def slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int) -> DataFrame:
+def cuts(n: int, capacity: int, short_first: bool) -> list[int]:
+    """Bounds of the pieces of n ids; what full pieces leave over comes first or last."""
+    first = n % capacity if short_first else 0
+    return sorted({0, *range(first, n, capacity), n})
+
+
+def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, short_first: bool = False) -> DataFrame:
     """One row a piece; `task` and `nth` number the pieces of a length within an input partition."""
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -165,23 +171,23 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int) -> DataFr
                 rows: list[tuple] = []
                 for doc, ids in zip(batch.column(0).slice(first, last - first).to_pylist(), encode(texts_of(batch.column(1), first, last)), strict=True):
                     ids = np.array([*ids, END_ID], "<u4").tobytes()
-                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        n = len(part) // 4
+                    bounds_of = cuts(len(ids) // 4, capacity, short_first)
+                    for piece, (at, end) in enumerate(zip(bounds_of, bounds_of[1:])):
+                        n = end - at
                         seen[n] = seen.get(n, -1) + 1
-                        rows.append((doc, piece, at // 4, n, zlib.crc32(part), task, seen[n]))
+                        rows.append((doc, piece, at, n, zlib.crc32(ids[4 * at : 4 * end]), task, seen[n]))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     return map_arrow(with_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
-def best_fit_packing(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def best_fit_packing(docs: DataFrame, vocabulary_path: str | None = None, capacity: int = CAPACITY, short_first: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32, sequence_id, offset; one row a piece.
 
     Every row counts as a document, also with a null or repeated doc_id; null text is empty and has only the end id. Documents of more than
-    `capacity` ids are cut into full pieces and a last shorter one. Other columns are not returned; no rows give no pieces."""
-    pieces = stash(token_pieces(docs, vocabulary_path or default_vocabulary(), capacity), "pieces")
+    `capacity` ids are cut into full pieces and a last shorter one, or with `short_first` a first shorter one. Other columns are not returned; no rows give no pieces."""
+    pieces = stash(token_pieces(docs, vocabulary_path or default_vocabulary(), capacity, short_first), "pieces")
     each = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = slots(solve(histogram, capacity))

@@ -41,7 +41,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), short_first=True)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
