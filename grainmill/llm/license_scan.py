@@ -1,9 +1,10 @@
 """License scan with DataFrame functions only.
 
 Texts become ASCII words; five neighbouring words that all occur in some template make a shingle, so prose adds next to nothing to a
-window's set. Windows of WINDOW words overlap by half, for texts and templates alike. Each window's MinHash (one value a band) meets the
-templates' in a join; bands_for() gives the number of bands at which windows as similar as an intact notice collide with the wanted
-probability. Every retrieved template is then verified: the share of its shingles that the document contains.
+window's set. Windows of WINDOW words overlap by half, for texts and templates alike; so do, for each number of shingles that a template
+has, windows of twice that many, which hold a notice of that size whole and at least half of it, whatever notices stand beside it. Each
+window's MinHash (one value a band) meets those of the templates of its size in a join; bands_for() gives the number of bands at which
+windows as similar as an intact notice collide with the wanted probability. Every retrieved template is then verified: the share of its shingles that the document contains.
 """
 
 from __future__ import annotations
@@ -79,11 +80,13 @@ def shingles_of(words: Column, known: Column | None = None) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))).alias("hash")))
 
 
-def windows(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows(keys, pos, hash) -> keys, window, sig array<long>: the MinHash of each window that has a shingle."""
-    half = WINDOW // 2
-    at = F.floor(F.col("pos") / half).cast("int")
-    each = rows.withColumn("window", F.explode(F.array(at, at - 1)))
+def windows(rows: DataFrame, *keys: str, lengths: Column | None = None) -> DataFrame:
+    """rows(keys, pos, hash) -> keys, length, window, sig array<long>: the MinHash of each window of the lengths (even; WINDOW by default)
+    that has a shingle."""
+    each = rows.withColumn("length", F.explode(F.array(F.lit(WINDOW)) if lengths is None else lengths))
+    at = F.floor(F.col("pos") / (F.col("length") / 2)).cast("int")
+    each = each.withColumn("window", F.explode(F.array(at, at - 1)))
+    keys = (*keys, "length")
     lows = [F.min(F.xxhash64("hash", F.lit(k))).alias(f"m{k}") for k in range(bands_for())]
     return each.groupBy(*keys, "window").agg(*lows).select(*keys, "window", F.array(*(f"m{k}" for k in range(bands_for()))).alias("sig"))
 
@@ -110,10 +113,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
     found = rows.select("doc_id", "tag", F.explode(shingles_of(F.col("words"), F.col("known"))).alias("s"))
     found = stash(found.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tag", "s.pos", "s.hash"), "shingles")
     wanted = template_shingles(spark, templates)
-    bands = lambda df, *keys: df.select(*keys, F.posexplode("sig").alias("band", "low"))
-    ours = bands(windows(wanted, "license"), "license").distinct()
-    theirs = bands(windows(found, "no_id", "id", "tag"), "no_id", "id", "tag")
-    retrieved = theirs.join(F.broadcast(ours), ["band", "low"]).select("no_id", "id", "tag", "license").distinct()
+    bands = lambda df, *keys: df.select(*keys, "length", F.posexplode("sig").alias("band", "low"))
+    twice = {k: 2 * (len(_words(t)) - SHINGLE + 1) for k, t in templates.items()}
+    own = F.create_map(*(F.lit(x) for pair in twice.items() for x in pair))[F.col("license")]
+    ours = bands(windows(wanted, "license", lengths=F.array_distinct(F.array(F.lit(WINDOW), own))), "license").distinct()
+    every = F.array(*(F.lit(n) for n in sorted({WINDOW, *twice.values()})))
+    theirs = bands(windows(found, "no_id", "id", "tag", lengths=every), "no_id", "id", "tag")
+    retrieved = theirs.join(F.broadcast(ours), ["length", "band", "low"]).select("no_id", "id", "tag", "license").distinct()
     distinct = wanted.select("license", "hash").distinct()
     sizes = distinct.groupBy("license").agg(F.count("*").alias("n_template"))
     parts = retrieved.join(F.broadcast(distinct), "license").join(F.broadcast(sizes), "license")
