@@ -51,7 +51,7 @@ STAGES = [
     ("suffix-array dedup", substring_stage),
     ("best-fit packing", packing_stage),
 ]
-#: SQL expresses neither the classifier nor the packing; tests/llm hold run() against brute force.
+#: SQL expresses neither the classifier nor the packing; tests/llm hold the operators, but not run(), against brute force.
 ORACLE_SQL = None
 
 
