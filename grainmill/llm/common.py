@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast after it was counted; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a vectorised step holds at once.
 BLOCK_BYTES = 1 << 20
+#: Bytes of text that a classifier is fitted on at most.
+TRAIN_BYTES = 1 << 26
+#: Keys of more rows than this are joined apart from the others; there are at most rows / HOT_ROWS of them.
+HOT_ROWS = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,24 +33,51 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that stash() has written and nobody has deleted yet, in order.
+_written: list[str] = []
+#: Spark's own removal of a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and return a reader of it: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/grainmill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df to the shared folder and return a reader of it: cuts lineage and survives lost executors.
+
+    The written table replaces the shuffle files of the query that made it, so Spark is told to remove these when the write ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/grainmill/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)  # Spark's Python API has no call that deletes a folder
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def release(spark: SparkSession, *stashed: DataFrame) -> None:
-    """Delete stashed tables that nothing reads any more, and let Spark drop the shuffle files of finished jobs."""
-    for df in stashed:
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):  # the scheduler and the listeners refer to their last job until they have seen another
-        spark.range(1).write.format("noop").mode("overwrite").save()
-        gc.collect()
-        spark._jvm.System.gc()
+    """Delete stashed tables that nothing reads any more."""
+    _delete(spark, [df._stash_path for df in stashed])
+
+
+def written() -> int:
+    """How many stashed tables there are: a mark for release_since()."""
+    return len(_written)
+
+
+def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete the tables stashed since the mark, but for those given. What a query returns reads its tables until the caller has stored it."""
+    _delete(spark, [p for p in _written[mark:] if p not in {df._stash_path for df in keep}])
 
 
 def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -55,6 +85,18 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df
 
 
+def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right on keys (inner or left). right has one row a key and in `size` the number of left's rows with it.
+
+    The rows of hot keys stay where they are and meet the few hot rows of right by broadcast, if these are as few as bounded() asks;
+    all other keys are shuffled, and none of them fills a task. Both sides are read twice, so they should be stashed tables."""
+    hot = stash(right.where(F.col(size) > hot_rows), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    rest = left.join(bounded(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(size) <= hot_rows), keys, how)
+    return left.join(bounded(hot), keys).unionByName(rest)
+
+
 def map_arrow(df: DataFrame, func: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
@@ -93,9 +135,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most `most` labelled rows for which `train` holds, the same rows whatever the partitioning.
+    """(doc_id, text, y) of at most `most` labelled rows, and at most TRAIN_BYTES of text, for which `train` holds: the same rows whatever
+    the partitioning. A single task can therefore hold the sample.
 
-    Ids repeated in labels count once with their largest label; rows without id or label are not used."""
+    Ids repeated in labels count once with their largest label, ids repeated in docs with their smallest text; rows without id or label and
+    texts of more than a sixteenth of TRAIN_BYTES are not used."""
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & train)
         .groupBy("doc_id")
@@ -103,7 +147,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, most:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )  # at most `most` rows, so this side may be broadcast
-    return with_text(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id")
+    found = with_text(docs.select("doc_id", "text")).where(F.octet_length("text") <= TRAIN_BYTES // 16).join(F.broadcast(chosen), "doc_id")
+    sample = stash(found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y"), "labelled")
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over at most `most` lengths
+    fits = sample.select("doc_id", F.sum(F.octet_length("text")).over(before).alias("bytes")).where(F.col("bytes") <= TRAIN_BYTES)
+    return sample.join(F.broadcast(fits.select("doc_id")), "doc_id")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -113,20 +161,21 @@ def components(edges: DataFrame) -> DataFrame:
     as a node's neighbours are only aggregated to their minimum."""
     spark = edges.sparkSession
     now = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+    seen, n = None, now.count()
     while True:
+        few = F.broadcast if 2 * n <= BROADCAST_ROWS else (lambda df: df)  # a minimum for each of at most 2 n nodes
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: every larger neighbour is tied to the smallest one
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(few(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: smaller neighbours and the node itself are tied to the smallest one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(least, "a")
+        tied = large.join(few(least), "a")
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after = stash(small, "edges")
         sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(spark, now)
-        now = after
+        now, n = after, sums[0]
         if sums == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = sums

@@ -222,5 +222,4 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32,
         twice = F.col("kept") & (F.col("n_ident") > 1)
         first = out.where(twice).withColumn("kept", F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(1))) == 1)
         out = out.where(~twice).unionByName(first)
-    release(spark)
     return out.select("doc_id", "text", *(F.col(a).alias(c) for c, a in clash.items()), "keep_id", F.col("n").alias("group_size"), "kept", "digest")

@@ -1,16 +1,19 @@
 """Similarity join of documents on word n-grams by rare-first prefix filtering.
 
-Every document's n-grams are put in one global order, rare ones first (by counts of N-gram buckets over all documents, a table of fixed
-size). Documents that reach the threshold share an n-gram of their prefixes, so prefixes are joined; pairs pass a length and a positional filter, then a
-suffix filter (parities of the set's hashes by range differ in no more ranges than the sets differ in elements), and are verified on the texts once.
+Every document's n-grams are put in one global order, rare ones first (by counts of n-gram buckets over all documents, a table of fixed
+size). Documents that reach the threshold share an n-gram of their prefixes, so prefixes are joined. Where two prefixes first meet, a pair
+passes a length, a positional and a suffix filter: what follows in either set is counted by ranges of the n-gram hash, and the
+differences of these counts are the fewest elements by which the suffixes can differ. Surviving pairs are verified on whole sets, each once.
 
 Groups of copies never give all their pairs. Documents with the same set are one node. In two rounds every node is paired with its nearest
-unconnected partner only, nearest by the suffix filter's bound; after these, pairs are made between members of one list that are not
-connected yet, which loses no connection: two documents that link are in one list, and are either connected or paired. Lists of
-more than CELL members are dealt out as pairs of blocks.
+unconnected partner only, within blocks of at most CELL members of a list; after these only lists whose members are not all connected are
+looked at, and in them pairs of different components. No connection is lost: two documents that link are in one list, and are either
+connected or paired there.
 
-Links lie within components, so they are found there afterwards: each pair of different sets of a component is compared on whole sets,
+Links lie within components, so they are counted there: each pair of different sets of a component is compared on whole sets,
 components of more than LINK_CELL sets as pairs of blocks. Copies count by the size of their class and are not paired.
+
+Hashes of n-grams have 128 bits wherever sets are compared: 64 order them, 64 more have to agree.
 """
 
 from __future__ import annotations
@@ -20,22 +23,22 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bounded, components, map_arrow, raw, release, stash, with_text
-from grainmill.llm.wordhash import LOWER, mix, prefix, spans, words
+from grainmill.llm.common import bounded, components, join_by_size, map_arrow, raw, release, stash, with_text
+from grainmill.llm.wordhash import LOWER, OTHER_VALUES, VALUES, mix, word_values, words
 
-WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL = 4, 85, 18, 512, 4_000, 2, 1_000
+WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL, FAN = 4, 85, 18, 64, 4_000, 2, 1_000, 256
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 PLACES = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xDB4F0B9175AE2165, 0xBBE0563303A4615F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 BLOCK = 1 << 18
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every word, A-Z as a-z; long texts in blocks cut between words."""
-    out, at = [], 0
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of every word, A-Z as a-z; long texts in blocks cut between words."""
+    out, at = [(np.zeros(0, np.uint64),) * 2], 0
     while at < len(data):
         end = at + BLOCK
         if end < len(data):
@@ -45,25 +48,36 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
                 gap = np.flatnonzero(~IS_WORD[data[at:end]])
             end = at + int(gap[-1]) + 1 if len(gap) else len(data)
         part = LOWER[data[at:end]]
-        out.append(spans(prefix(part), *words(part, IS_WORD)))
+        bounds = words(part, IS_WORD)
+        out.append((word_values(part, *bounds, VALUES), word_values(part, *bounds, OTHER_VALUES)))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def gram_set(data: np.ndarray, n: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams; of fewer words the whole sequence as one."""
-    w = word_hashes(data)
-    k = min(n, len(w))
+def gram_set(data: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams as (sorted hashes, their second hashes); of fewer words the whole sequence as one."""
+    both = word_hashes(data)
+    k = min(n, len(both[0]))
     if not k:
-        return w
-    total = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        total += w[i : len(w) - k + 1 + i] * PLACES[i]
-    return np.unique(mix(total))
+        return both
+    out = []
+    for w in both:
+        total = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            total += w[i : len(w) - k + 1 + i] * PLACES[i]
+        out.append(mix(total))
+    first, at = np.unique(out[0], return_index=True)
+    return first, out[1][at]
+
 
+def signature(s: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return hashlib.blake2b(s[0].tobytes() + s[1].tobytes(), digest_size=16).digest()
 
-def signature(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+def shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """Size of the intersection of two n-gram sets."""
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    return int(np.count_nonzero(x[1][i] == y[1][j]))
 
 
 def least_shared(a: int, b: int, percent: int) -> int:
@@ -86,25 +100,31 @@ def _count_buckets(n: int):
         count = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for text in _rows(batch.column(0)):
-                np.add.at(count, (gram_set(text, n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+                np.add.at(count, (gram_set(text, n)[0] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at])], ["bucket", "n"])
 
     return run
 
 
+def by_range(s: np.ndarray) -> np.ndarray:
+    """How many elements fall in each of the RANGES ranges of the hash."""
+    return np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES)
+
+
 def _prefixes(n: int, percent: int, order):
     def run(batches):
         count = order.value
         for batch in batches:
             size, sig, heads, parts = [], [], [], []
             for text in _rows(batch.column(1)):
-                s = gram_set(text, n)
+                both = gram_set(text, n)
+                s = both[0]
                 size.append(len(s))
-                sig.append(signature(s))
+                sig.append(signature(both))
                 head = s[np.lexsort((s, count[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))][: prefix_length(len(s), percent)] if len(s) else s
                 heads.append(head.view(np.int64))
-                parts.append(np.packbits(np.bincount((s & np.uint64(RANGES - 1)).astype(np.int64), minlength=RANGES) & 1).tobytes())
+                parts.append(by_range(s).astype(np.uint16).tobytes() if len(s) < 1 << 16 else np.minimum(by_range(s), 65535).astype(np.uint16).tobytes())
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64))), pa.array(parts, pa.binary())],
@@ -114,31 +134,47 @@ def _prefixes(n: int, percent: int, order):
     return run
 
 
+def _suffixes(batches):
+    """(h, size, rep, n, pos, head, parts) -> the same with `suffix`: elements after pos by range, at most 255 each, in place of head and parts."""
+    for batch in batches:
+        pos, heads, out = batch.column(4).to_numpy(), batch.column(5), []
+        data, bounds = raw(batch.column(6))
+        for i in range(batch.num_rows):
+            before = heads[i].values.to_numpy()[: pos[i] + 1].view(np.uint64)
+            out.append(np.clip(data[bounds[i] : bounds[i + 1]].view(np.uint16).astype(np.int64) - by_range(before), 0, 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], ["h", "size", "rep", "n", "pos", "suffix"])
+
+
 def _verify(n: int, percent: int):
-    """Rows (a, b, text of a, text of b), those of one a near each other: the pairs that reach the threshold. An id may have several texts."""
+    """Rows (a, salt, b, text) sorted by a and salt, rows of a itself (b null) first: the pairs that reach the threshold. An id may have
+    several texts; each is compared."""
 
     def run(batches):
-        last, kept = (None, b""), np.zeros(0, np.uint64)
+        last, kept = None, []
         for batch in batches:
-            a, b, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i, (x, y) in enumerate(zip(_rows(batch.column(2)), _rows(batch.column(3)), strict=True)):
-                if (a[i], x.tobytes()) != last:
-                    last, kept = (a[i], x.tobytes()), gram_set(x, n)
-                other = gram_set(y, n)
-                both = len(np.intersect1d(kept, other, assume_unique=True))
-                if 100 * both >= percent * (len(kept) + len(other) - both):
-                    good.append(i)
+            a, salt, b, good = (*(batch.column(i).to_pylist() for i in range(3)), [])
+            for i, text in enumerate(_rows(batch.column(3))):
+                if (a[i], salt[i]) != last:
+                    last, kept = (a[i], salt[i]), []
+                s = gram_set(text, n)
+                if b[i] is None:
+                    kept.append(s)
+                    continue
+                for k in kept:
+                    if len(k[0]) and len(s[0]) and 100 * (both := shared(k, s)) >= percent * (len(k[0]) + len(s[0]) - both):
+                        good.append(i)
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], ["a", "b"])
 
     return run
 
 
 def _pairs(percent: int, nearest: bool):
-    """Rows (h, cell, side, rep, n, pos, label, parts) sorted by list and cell -> (a, b, apart): pairs of different labels that pass all
+    """Rows (h, cell, side, rep, n, pos, label, suffix) sorted by list and cell -> (a, b, apart): pairs of different labels that pass all
     filters; if nearest, only the nearest for each of their members."""
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
-        h, cell, side, rep, n, pos, label, parts = cols
+        h, cell, side, rep, n, pos, label, suffix = cols
         out: list[tuple[np.ndarray, ...]] = []
         live = np.arange(len(h) - 1)
         for d in range(1, len(h)):
@@ -150,9 +186,10 @@ def _pairs(percent: int, nearest: bool):
             ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] < 0))
             x, y = x[ok], y[ok]
             need = -(-percent * (n[x] + n[y]) // (100 + percent))
+            # as if the pair met here first; if it met before, it passes in that list
             ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need)
             x, y, need = x[ok], y[ok], need[ok]
-            apart = np.bitwise_count(parts[x] ^ parts[y]).sum(1, dtype=np.int64)
+            apart = pos[x] + pos[y] + np.abs(suffix[x] - suffix[y]).sum(1, dtype=np.int64)
             ok = apart <= n[x] + n[y] - 2 * need
             if ok.any():
                 out.append((rep[x[ok]], rep[y[ok]], apart[ok]))
@@ -172,7 +209,7 @@ def _pairs(percent: int, nearest: bool):
         for batch in batches:
             data, bounds = raw(batch.column(7))
             cols = [batch.column(i).to_numpy() for i in range(7)]
-            cols.append(data[bounds[0] : bounds[-1]].reshape(batch.num_rows, -1).view(np.uint64))
+            cols.append(data[bounds[0] : bounds[-1]].reshape(batch.num_rows, -1).astype(np.int16))
             held.append(cols)
             size += batch.num_rows
             if size > 4 * CELL:  # all but the last list, which the next batch may go on with
@@ -188,15 +225,25 @@ def _pairs(percent: int, nearest: bool):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) that link; written to the shared folder."""
-    passed = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    asked = stash(passed.select(F.col("a").alias("rep")).union(passed.select(F.col("b").alias("rep"))).distinct(), "asked")
-    texts = stash(with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).join(bounded(asked), "rep"), "texts")
-    both = passed.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    out = stash(map_arrow(both.select("a", "b", "ta", "tb"), _verify(n, percent), "a long, b long").distinct(), "links")
-    release(docs.sparkSession, passed, asked, texts)
-    return out
+def verified(docs: DataFrame, pairs: DataFrame, tried: DataFrame | None, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(those of pairs(a, b) that link, all pairs looked at so far); pairs that were tried before are not tried again.
+
+    Rows that carry a text: one for every pair (that of b), and one of a for every FAN pairs of it."""
+    new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tried is not None:
+        new = new.join(tried, ["a", "b"], "left_anti")
+    new = stash(new.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(FAN)).cast("int")), "candidates")
+    many = stash(new.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > FAN).select("a"), "many")
+    # the pairs of an id with few of them are together, those of the others are dealt out
+    told = new.join(bounded(many).withColumn("m", F.lit(True)), "a", "left").select("a", F.when(F.col("m"), F.col("salt")).otherwise(-1).alias("salt"), "b")
+    asked = told.select(F.col("a").alias("rep"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().union(told.select(F.col("b").alias("rep"), "a", "salt", "b"))
+    texts = with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"))
+    wanted = stash(asked.select("rep").distinct(), "asked")
+    held = stash(texts.join(bounded(wanted), "rep"), "texts")
+    rows = asked.join(held, "rep").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    out = stash(map_arrow(rows, _verify(n, percent), "a long, b long").distinct(), "links")
+    release(docs.sparkSession, wanted, held, many)
+    return out, (new.select("a", "b") if tried is None else tried.union(new.select("a", "b")))
 
 
 def _links(n: int, percent: int, counted: bool):
@@ -204,11 +251,15 @@ def _links(n: int, percent: int, counted: bool):
     (sig, linked): how many rows have the sets that link with this one in the cell. Texts of other sets, as ids may repeat, are left out."""
 
     def found(members: dict[bytes, tuple]) -> pa.RecordBatch:
-        sig = sorted(members, key=lambda k: (len(members[k][2]), k))
+        sig = sorted(members, key=lambda k: (len(members[k][2][0]), k))
         side, copies = (np.array([members[k][i] for k in sig], np.int64) for i in (0, 1))
-        size = np.array([len(members[k][2]) for k in sig], np.int64)
+        size = np.array([len(members[k][2][0]) for k in sig], np.int64)
         at = np.concatenate([[0], np.cumsum(size)])
-        known, ids = np.unique(np.concatenate([members[k][2] for k in sig]), return_inverse=True)
+        one, other = (np.concatenate([members[k][2][i] for k in sig]) for i in (0, 1))
+        known, first, ids = np.unique(one, return_index=True, return_inverse=True)
+        if (other != other[first][ids]).any():  # equal first hashes of different n-grams
+            known, ids = np.unique(np.stack([one, other]), axis=1, return_inverse=True)
+            known, ids = known[0], ids.ravel()
         mine, linked, out = np.zeros(len(known), np.uint8), np.zeros(len(sig), np.int64), []
         for i in range(len(sig) - 1):
             end = int(np.searchsorted(percent * size, 100 * size[i], side="right"))  # larger ones cannot link
@@ -255,6 +306,24 @@ def _in_cells(df: DataFrame, most: int, key: str, *columns: str) -> DataFrame:
     return df.select(*columns, F.explode(cells).alias("c")).select(*columns, "c.cell", "c.side")
 
 
+def _across(labelled: DataFrame, columns: list[str]) -> DataFrame:
+    """labelled(size, columns) -> columns, cell, side. A list of up to CELL members is one cell. In a larger one the members of its most
+    frequent label are dealt into blocks, and those of other labels meet every block, and each other in pairs of blocks."""
+    small = labelled.where(F.col("size") <= CELL).select(*columns, F.lit(0).cast("long").alias("cell"), F.lit(-1).alias("side"))
+    large = labelled.where(F.col("size") > CELL)
+    if large.isEmpty():
+        return small
+    each = large.groupBy("h", "label").agg(F.count("*").alias("m"))
+    top = stash(each.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("m"), F.sum("m").alias("all")), "top")
+    large = large.drop("size").join(bounded(top), "h").withColumn("blocks", F.ceil(F.col("m") / CELL))
+    first = F.col("label") == F.col("top")
+    of_top = large.where(first).select(*columns, F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("cell"), F.lit(0).alias("side"))
+    others = large.where(~first).withColumn("size", F.col("all") - F.col("m"))
+    beside = others.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("cell"), F.lit(1).alias("side"))
+    among = _in_cells(others, CELL, "rep", *columns).select(*columns, (-1 - F.col("cell").cast("long")).alias("cell"), F.col("side").cast("int").alias("side"))
+    return small.unionByName(of_top).unionByName(beside).unionByName(among)
+
+
 def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sets(doc_id, n, sig), nodes(sig, rep, copies) and components(node, root) of their representatives."""
     spark = docs.sparkSession
@@ -266,27 +335,34 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     sets = stash(map_arrow(rows, _prefixes(n, percent, order), "doc_id long, n int, sig binary, head array<long>, parts binary"), "sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "head", "parts"), "doc_id").alias("x"))
     nodes = stash(classes.select("sig", "rep", "copies", "x.n", "x.head", "x.parts"), "nodes")
-    release(spark)
 
-    heads = nodes.select("rep", "n", F.posexplode("head").alias("pos", "h"))
-    met = heads.withColumn("size", F.count("*").over(Window.partitionBy("h"))).where("size > 1")
-    met = stash(met, "lists")
-    release(spark)
-    lists = stash(_in_cells(met.join(nodes.select("rep", "parts"), "rep"), CELL, "rep", "h", "rep", "n", "pos", "parts").select("h", "cell", "side", "rep", "n", "pos", "parts"), "cells")
-    release(spark, met)
+    # lists of an n-gram with several members; those of more than CELL are few and are gathered without a shuffle by the n-gram
+    heads = nodes.select("sig", "rep", "n", F.posexplode("head").alias("pos", "h"))
+    met = stash(heads.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "met")
+    entries = stash(join_by_size(heads, met, ["h"], "size", hot_rows=CELL), "entries")
+    lists = entries.join(nodes.select("sig", "head", "parts"), "sig").select("h", "size", "rep", "n", "pos", "head", "parts")
+    lists = stash(map_arrow(lists, _suffixes, "h long, size long, rep long, n int, pos int, suffix binary"), "lists")
+    release(spark, met, entries)
 
-    links = None
+    columns, links, tried = ["h", "rep", "n", "pos", "label", "suffix"], None, None
     for k in range(ROUNDS + 1):
         if links is None:
             labelled = lists.withColumn("label", F.col("rep"))
         else:
             joined = components(links)
             labelled = lists.join(bounded(joined.select(F.col("node").alias("rep"), "root")), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
-        placed = labelled.select("h", "cell", "side", "rep", "n", "pos", "label", "parts").repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "rep")
+            open_ = stash(labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h"), "open")
+            labelled = stash(labelled.join(bounded(open_), "h", "left_semi"), "labelled")
+        if k < ROUNDS:  # blocks by another hash every round, compared within
+            block = F.pmod(F.xxhash64("rep", F.lit(k)), F.ceil(F.col("size") / CELL)).cast("long")
+            placed = labelled.withColumns({"cell": block, "side": F.lit(-1)})
+        else:
+            placed = _across(labelled, columns)
+        placed = placed.select("h", "cell", "side", "rep", "n", "pos", "label", "suffix").repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "rep")
         pairs = map_arrow(placed, _pairs(percent, k < ROUNDS), "a long, b long, apart long")
         if k < ROUNDS:
             pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        new = verified(docs, pairs.select("a", "b"), n, percent)
+        new, tried = verified(docs, pairs.select("a", "b"), tried, n, percent)
         links = new if links is None else stash(links.union(new).distinct(), "links")
     same_id = nodes.select("sig", "rep")  # rows of one id with several sets are tied below
     ties = sets.where("n > 0 and doc_id is not null").join(same_id, "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -297,9 +373,13 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     return sets, nodes, final
 
 
-def _labelled(sets: DataFrame, nodes: DataFrame, final: DataFrame) -> DataFrame:
-    out = sets.join(nodes.select("sig", "rep"), "sig", "left").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    return out.select("sig", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+def _labelled(sets: DataFrame, nodes: DataFrame, final: DataFrame, *more: str) -> DataFrame:
+    """A row for every row of sets; nodes(sig, rep, copies, more)."""
+    rooted = nodes.select("sig", "rep", "copies", *more).join(bounded(final.select(F.col("node").alias("rep"), "root")), "rep", "left")
+    rooted = stash(rooted.select("sig", F.coalesce("root", "rep").alias("root"), "copies", *more), "rooted")
+    out = join_by_size(sets.select("sig", "doc_id", "n"), rooted, ["sig"], "copies", "left")
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), root.alias("component_id"), *more)
 
 
 def _linked_sets(docs: DataFrame, nodes: DataFrame, final: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
@@ -325,7 +405,7 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     empty set, which links with nothing. Two documents link when 100 * intersection >= percent * union; component_id is the smallest doc_id
     that links reach. Rows that share a doc_id are one document and linked; rows without doc_id link with nothing and have a null
     component_id. Other columns are not returned."""
-    return _labelled(*_join(docs, n, percent)).select("doc_id", "n_shingles", "component_id")
+    return _labelled(*_join(docs, n, percent))
 
 
 def near_links(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -343,6 +423,7 @@ def near_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     which are not counted either."""
     sets, nodes, final = _join(docs, n, percent)
     linked = _linked_sets(docs, nodes, final, n, percent, counted=True).groupBy("sig").agg(F.sum("linked").alias("linked"))
-    links = stash(nodes.select("sig", "copies").join(linked, "sig", "left").select("sig", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "counts")
-    out = _labelled(sets, nodes, final).join(links, "sig", "left")
-    return out.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    counted = nodes.select("sig", "rep", "copies").join(bounded(stash(linked, "linked")), "sig", "left")
+    counted = counted.withColumn("n_links", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long"))
+    out = _labelled(sets, counted, final, "n_links")
+    return out.withColumn("n_links", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long"))

@@ -206,5 +206,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     repeated ids are kept. Other columns are not returned."""
     recipes, store = write_media(docs)
     found = stash(read_media(recipes, store), "media")
-    release(docs.sparkSession)
     return recipes.select("doc_id", "n_bytes", "recipe").join(found, "recipe").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

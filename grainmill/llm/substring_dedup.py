@@ -174,7 +174,6 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROW
         .select("h", "s", "doc", "at", "first", "mixed", "hot")
     )
     met = stash(met, "segments")
-    release(spark)
     size, pos, tag = F.col("at").bitwiseAND(0xFF), F.shiftright("at", 8).bitwiseAND(0xFFFFFFFF), F.shiftright("at", 40)
     whole = met.where("doc > first").select("doc", tag.alias("tag"), pos.alias("lo"), (pos + size).alias("hi"))
     reps = met.where("doc = first and mixed")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _rng = np.random.default_rng(20240607)
 VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: A second, independent table: hashes by both together have 128 bits.
+OTHER_VALUES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longer words than this are hashed by BLAKE2: long words of two letters can be built that collide in any polynomial modulo 2^64.
+LONG = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _powers = {False: np.ones(1, np.uint64), True: np.ones(1, np.uint64)}
@@ -40,6 +46,14 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+def word_values(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
+    """Hash of each word data[start:end], by the table of byte values."""
+    out = spans(prefix(data, values), start, end)
+    for i in np.flatnonzero(end - start > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=values[:4].tobytes()).digest(), "little")
+    return out
+
+
 def words(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the maximal runs of bytes that is_word (256 flags) marks."""
     flag = np.zeros(len(data) + 2, np.int8)
