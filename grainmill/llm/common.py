@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after it was counted; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of files up to which a stashed table may be broadcast; beyond it joins shuffle. Rows of edges, which are two numbers, alike.
+BROADCAST_BYTES, BROADCAST_ROWS = 1 << 24, 1_000_000
 #: Bytes of text that a vectorised step holds at once.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text that a classifier is fitted on at most.
@@ -80,9 +80,11 @@ def release_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
     _delete(spark, [p for p in _written[mark:] if p not in {df._stash_path for df in keep}])
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a stashed df for broadcast if it has few rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit((rows or BROADCAST_ROWS) + 1).count() <= (rows or BROADCAST_ROWS) else df
+def bounded(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Mark df for broadcast if the stashed table that it is, or is made of, is small by the size of its files; else leave the join to Spark."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path((of or df)._stash_path)
+    size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -93,7 +95,7 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     hot = stash(right.where(F.col(size) > hot_rows), "hot")
     if hot.isEmpty():
         return left.join(right, keys, how)
-    rest = left.join(bounded(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(size) <= hot_rows), keys, how)
+    rest = left.join(bounded(hot.select(*keys), hot), keys, "left_anti").join(right.where(F.col(size) <= hot_rows), keys, how)
     return left.join(bounded(hot), keys).unionByName(rest)
 
 
@@ -160,9 +162,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al., 2014) on tables in the shared folder; no component is ever held in one task,
     as a node's neighbours are only aggregated to their minimum."""
     spark = edges.sparkSession
-    now = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen, n = None, now.count()
-    while True:
+
+    def store(df: DataFrame) -> tuple[DataFrame, int, object]:
+        """The stashed edges, their number and a sum over them, both observed while they are written."""
+        seen = Observation()
+        out = stash(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        return out, seen.get["n"], seen.get["sum"]
+
+    now, n, total = store(edges.select("a", "b").where("a <> b").distinct())
+    while n:
         few = F.broadcast if 2 * n <= BROADCAST_ROWS else (lambda df: df)  # a minimum for each of at most 2 n nodes
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -172,10 +180,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(few(least), "a")
         small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = stash(small, "edges")
-        sums = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after, n_after, total_after = store(small)
         release(spark, now)
-        now, n = after, sums[0]
-        if sums == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = sums
+        same = (n, total) == (n_after, total_after)
+        now, n, total = after, n_after, total_after
+        if same:
+            break
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._stash_path = now._stash_path
+    return out

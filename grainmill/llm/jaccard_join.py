@@ -5,9 +5,9 @@ size). Documents that reach the threshold share an n-gram of their prefixes, so
 passes a length, a positional and a suffix filter: what follows in either set is counted by ranges of the n-gram hash, and the
 differences of these counts are the fewest elements by which the suffixes can differ. Surviving pairs are verified on whole sets, each once.
 
-Groups of copies never give all their pairs. Documents with the same set are one node. In two rounds every node is paired with its nearest
-unconnected partner only, within blocks of at most CELL members of a list; after these only lists whose members are not all connected are
-looked at, and in them pairs of different components. No connection is lost: two documents that link are in one list, and are either
+Groups of copies never give all their pairs. Documents with the same set are one node. First every node is looked at in its longest list
+only, and of the pairs of a block of CELL members those of a spanning forest, nearest first, are verified; blocks of longer lists are
+dealt anew for a second time. After that only lists whose members are not all connected are looked at, and in them pairs of different components. No connection is lost: two documents that link are in one list, and are either
 connected or paired there.
 
 Links lie within components, so they are counted there: each pair of different sets of a component is compared on whole sets,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.common import bounded, components, join_by_size, map_arrow, raw, release, stash, with_text
 from grainmill.llm.wordhash import LOWER, OTHER_VALUES, VALUES, mix, word_values, words
 
-WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL, FAN = 4, 85, 18, 64, 4_000, 2, 1_000, 256
+WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL, FAN = 4, 85, 18, 64, 2_000, 2, 1_000, 64
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 PLACES = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xDB4F0B9175AE2165, 0xBBE0563303A4615F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -137,11 +137,16 @@ def _prefixes(n: int, percent: int, order):
 def _suffixes(batches):
     """(h, size, rep, n, pos, head, parts) -> the same with `suffix`: elements after pos by range, at most 255 each, in place of head and parts."""
     for batch in batches:
-        pos, heads, out = batch.column(4).to_numpy(), batch.column(5), []
+        pos, heads = batch.column(4).to_numpy().astype(np.int64), batch.column(5)
         data, bounds = raw(batch.column(6))
-        for i in range(batch.num_rows):
-            before = heads[i].values.to_numpy()[: pos[i] + 1].view(np.uint64)
-            out.append(np.clip(data[bounds[i] : bounds[i + 1]].view(np.uint16).astype(np.int64) - by_range(before), 0, 255).astype(np.uint8).tobytes())
+        total = data[bounds[0] : bounds[-1]].view(np.uint16).reshape(batch.num_rows, RANGES).astype(np.int64)
+        # the n-grams up to pos of every row, end to end
+        row = np.repeat(np.arange(batch.num_rows), pos + 1)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(pos + 1) - pos - 1, pos + 1) + np.repeat(heads.offsets.to_numpy()[:-1].astype(np.int64), pos + 1)
+        place = heads.values.to_numpy()[at].view(np.uint64) & np.uint64(RANGES - 1)
+        before = np.bincount(row * RANGES + place.astype(np.int64), minlength=batch.num_rows * RANGES).reshape(-1, RANGES)
+        suffix = np.clip(total - before, 0, 255).astype(np.uint8).tobytes()
+        out = [suffix[i : i + RANGES] for i in range(0, len(suffix), RANGES)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.binary())], ["h", "size", "rep", "n", "pos", "suffix"])
 
 
@@ -169,9 +174,32 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _pairs(percent: int, nearest: bool):
-    """Rows (h, cell, side, rep, n, pos, label, suffix) sorted by list and cell -> (a, b, apart): pairs of different labels that pass all
-    filters; if nearest, only the nearest for each of their members."""
+def forest(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Indices of the edges (u, v) of a minimum spanning forest by Boruvka's steps; edges of equal length count in their order."""
+    names, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v, n = place[: len(u)], place[len(u) :], np.arange(len(names))
+    label, live, chosen = n, np.arange(len(u)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = label[u[live]], label[v[live]]
+        between = a != b
+        live, a, b = live[between], a[between], b[between]
+        if not len(live):
+            return np.unique(np.concatenate(chosen))
+        here, to, edge = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([live, live])
+        order = np.lexsort((edge, far[edge], here))
+        best = order[np.concatenate([[True], here[order][1:] != here[order][:-1]])]
+        chosen.append(edge[best])
+        up = n.copy()
+        up[here[best]] = to[best]
+        up = np.where((up[up] == n) & (n < up), n, up)  # of two that chose each other the smaller one is the root
+        while (up[up] != up).any():
+            up = up[up]
+        label = up[label]
+
+
+def _pairs(percent: int, spanning: bool, one_list: bool):
+    """Rows (h, cell, side, rep, n, pos, label, suffix) sorted by list and cell -> (a, b): pairs of different labels that pass all filters;
+    if spanning, only a spanning forest of them, nearest first. one_list: rows are there in one of their lists only."""
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
         h, cell, side, rep, n, pos, label, suffix = cols
@@ -186,22 +214,26 @@ def _pairs(percent: int, nearest: bool):
             ok = (label[x] != label[y]) & ((side[x] != side[y]) | (side[x] < 0))
             x, y = x[ok], y[ok]
             need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            # as if the pair met here first; if it met before, it passes in that list
-            ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need)
+            # of all lists: as if the pair met here first; if it met before, it passes in that list. Of one list: it may have met before
+            met = np.minimum(pos[x], pos[y]) if one_list else 0
+            ok = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (met + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 >= need)
             x, y, need = x[ok], y[ok], need[ok]
-            apart = pos[x] + pos[y] + np.abs(suffix[x] - suffix[y]).sum(1, dtype=np.int64)
+            apart = np.abs(pos[x] - pos[y]) if one_list else pos[x] + pos[y]
+            apart = apart + np.abs(suffix[x] - suffix[y]).sum(1, dtype=np.int64)
             ok = apart <= n[x] + n[y] - 2 * need
             if ok.any():
-                out.append((rep[x[ok]], rep[y[ok]], apart[ok]))
-        a, b, apart = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        if nearest:
-            a, b, apart = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
-            order = np.lexsort((b, apart, a))
-            order = order[np.concatenate([[True], a[order][1:] != a[order][:-1]])] if len(order) else order
-        else:
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.unique(np.stack([a, b]), axis=1, return_index=True)[1] if len(a) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (a, b, apart)], ["a", "b", "apart"])
+                out.append((x[ok], y[ok], apart[ok]))
+        x, y, apart = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        if spanning and len(x):
+            # cells are independent: the label counts within its cell
+            turn = np.concatenate([[True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])
+            inside = np.unique(np.stack([np.cumsum(turn), label]), axis=1, return_inverse=True)[1].ravel()
+            kept = forest(inside[x], inside[y], apart)
+            x, y = x[kept], y[kept]
+        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+        if len(a):
+            a, b = np.unique(np.stack([a, b]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -228,22 +260,19 @@ def _pairs(percent: int, nearest: bool):
 def verified(docs: DataFrame, pairs: DataFrame, tried: DataFrame | None, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(those of pairs(a, b) that link, all pairs looked at so far); pairs that were tried before are not tried again.
 
-    Rows that carry a text: one for every pair (that of b), and one of a for every FAN pairs of it."""
+    A pair carries the text of b; that of a goes once to each of the at most FAN groups that its pairs are dealt into."""
     new = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     if tried is not None:
         new = new.join(tried, ["a", "b"], "left_anti")
-    new = stash(new.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(FAN)).cast("int")), "candidates")
-    many = stash(new.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > FAN).select("a"), "many")
-    # the pairs of an id with few of them are together, those of the others are dealt out
-    told = new.join(bounded(many).withColumn("m", F.lit(True)), "a", "left").select("a", F.when(F.col("m"), F.col("salt")).otherwise(-1).alias("salt"), "b")
-    asked = told.select(F.col("a").alias("rep"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().union(told.select(F.col("b").alias("rep"), "a", "salt", "b"))
-    texts = with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text"))
-    wanted = stash(asked.select("rep").distinct(), "asked")
-    held = stash(texts.join(bounded(wanted), "rep"), "texts")
-    rows = asked.join(held, "rep").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    new = stash(new, "candidates")
+    told = new.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(FAN)).cast("int"))
+    ends = told.select(F.col("a").alias("rep"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct().union(told.select(F.col("b").alias("rep"), "a", "salt", "b"))
+    asked = stash(ends.select("rep").distinct(), "asked")
+    texts = with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).join(bounded(asked), "rep", "left_semi")
+    rows = ends.join(texts, "rep").select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     out = stash(map_arrow(rows, _verify(n, percent), "a long, b long").distinct(), "links")
-    release(docs.sparkSession, wanted, held, many)
-    return out, (new.select("a", "b") if tried is None else tried.union(new.select("a", "b")))
+    release(docs.sparkSession, asked)
+    return out, (new if tried is None else tried.union(new))
 
 
 def _links(n: int, percent: int, counted: bool):
@@ -344,38 +373,38 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     lists = stash(map_arrow(lists, _suffixes, "h long, size long, rep long, n int, pos int, suffix binary"), "lists")
     release(spark, met, entries)
 
-    columns, links, tried = ["h", "rep", "n", "pos", "label", "suffix"], None, None
-    for k in range(ROUNDS + 1):
-        if links is None:
-            labelled = lists.withColumn("label", F.col("rep"))
-        else:
-            joined = components(links)
-            labelled = lists.join(bounded(joined.select(F.col("node").alias("rep"), "root")), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
-            open_ = stash(labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h"), "open")
-            labelled = stash(labelled.join(bounded(open_), "h", "left_semi"), "labelled")
-        if k < ROUNDS:  # blocks by another hash every round, compared within
+    columns, links, tried, k = ["h", "rep", "n", "pos", "label", "suffix"], None, None, 0
+    longest = lists.groupBy("rep").agg(F.max(F.struct("size", "h", "n", "pos", "suffix")).alias("x")).select("rep", "x.*")
+    labelled = longest.withColumn("label", F.col("rep"))
+    while True:
+        spanning = labelled is not None
+        if spanning:  # blocks by another hash every round, compared within
             block = F.pmod(F.xxhash64("rep", F.lit(k)), F.ceil(F.col("size") / CELL)).cast("long")
             placed = labelled.withColumns({"cell": block, "side": F.lit(-1)})
         else:
-            placed = _across(labelled, columns)
+            placed = _across(open_lists, columns)
         placed = placed.select("h", "cell", "side", "rep", "n", "pos", "label", "suffix").repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "rep")
-        pairs = map_arrow(placed, _pairs(percent, k < ROUNDS), "a long, b long, apart long")
-        if k < ROUNDS:
-            pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        new, tried = verified(docs, pairs.select("a", "b"), tried, n, percent)
+        new, tried = verified(docs, map_arrow(placed, _pairs(percent, spanning, k == 0), "a long, b long"), tried, n, percent)
         links = new if links is None else stash(links.union(new).distinct(), "links")
+        if not spanning:
+            break
+        joined = components(links)
+        told = lists.join(bounded(joined.select(F.col("node").alias("rep"), "root"), joined), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
+        several = stash(told.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h"), "open")
+        open_lists = stash(told.drop("root").join(bounded(several), "h", "left_semi"), "open-lists")
+        k += 1
+        labelled = open_lists if k < ROUNDS and not open_lists.where(F.col("size") > CELL).isEmpty() else None
     same_id = nodes.select("sig", "rep")  # rows of one id with several sets are tied below
     ties = sets.where("n > 0 and doc_id is not null").join(same_id, "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = sets.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("sig").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
     every = links.union(ties.join(twice, "a").distinct())
-    final = stash(components(every), "components")
     release(spark, lists)
-    return sets, nodes, final
+    return sets, nodes, components(every)
 
 
 def _labelled(sets: DataFrame, nodes: DataFrame, final: DataFrame, *more: str) -> DataFrame:
     """A row for every row of sets; nodes(sig, rep, copies, more)."""
-    rooted = nodes.select("sig", "rep", "copies", *more).join(bounded(final.select(F.col("node").alias("rep"), "root")), "rep", "left")
+    rooted = nodes.select("sig", "rep", "copies", *more).join(bounded(final.select(F.col("node").alias("rep"), "root"), final), "rep", "left")
     rooted = stash(rooted.select("sig", F.coalesce("root", "rep").alias("root"), "copies", *more), "rooted")
     out = join_by_size(sets.select("sig", "doc_id", "n"), rooted, ["sig"], "copies", "left")
     root = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
@@ -385,12 +414,11 @@ def _labelled(sets: DataFrame, nodes: DataFrame, final: DataFrame, *more: str) -
 def _linked_sets(docs: DataFrame, nodes: DataFrame, final: DataFrame, n: int, percent: int, counted: bool) -> DataFrame:
     """What _links finds in the components of several sets; written to the shared folder."""
     spark = docs.sparkSession
-    members = nodes.select("sig", "rep", "copies").join(bounded(final.select(F.col("node").alias("rep"), "root")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    members = stash(members, "members")
+    members = nodes.select("sig", "rep", "copies").join(bounded(final.select(F.col("node").alias("rep"), "root"), final), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     sizes = stash(members.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     asked = stash(members.join(bounded(sizes), "root"), "asked")
     texts = stash(with_text(docs.select(F.col("doc_id").cast("long").alias("rep"), "text")).join(bounded(asked), "rep"), "texts")
-    release(spark, members, sizes, asked)
+    release(spark, sizes, asked)
     placed = _in_cells(texts, LINK_CELL, "sig", "root", "sig", "copies", "text").select("root", "cell", "side", "sig", "copies", "text")
     placed = placed.repartition("root", "cell").sortWithinPartitions("root", "cell")
     out = stash(map_arrow(placed, _links(n, percent, counted), "sig binary, linked long" if counted else "a binary, b binary"), "set-links")
@@ -423,7 +451,7 @@ def near_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFr
     which are not counted either."""
     sets, nodes, final = _join(docs, n, percent)
     linked = _linked_sets(docs, nodes, final, n, percent, counted=True).groupBy("sig").agg(F.sum("linked").alias("linked"))
-    counted = nodes.select("sig", "rep", "copies").join(bounded(stash(linked, "linked")), "sig", "left")
+    counted = nodes.select("sig", "rep", "copies").join(linked, "sig", "left")
     counted = counted.withColumn("n_links", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long"))
     out = _labelled(sets, counted, final, "n_links")
     return out.withColumn("n_links", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long"))
