@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of files up to which a stashed table may be broadcast; beyond it joins shuffle. Rows of edges, which are two numbers, alike.
-BROADCAST_BYTES, BROADCAST_ROWS = 1 << 24, 1_000_000
+BROADCAST_BYTES, BROADCAST_ROWS = 1 << 22, 1_000_000
 #: Bytes of text that a vectorised step holds at once.
 BLOCK_BYTES = 1 << 20
 #: Bytes of text that a classifier is fitted on at most.

@@ -2,8 +2,9 @@
 
 Map side: every input partition fills a memtable and flushes it as a sorted run whenever it is full, so that a text repeated in a third of
 all rows leaves one entry a run. Each digest shard then keeps its own index: memtables flushed as sorted runs with Bloom filters, levels
-compacted when they hold `FANOUT` runs, entries of one digest folded to the smallest identifier. Rows that hit another row's digest have
-their bytes compared with those of the row that stays; digests under which bytes differ are grouped again by the whole text.
+compacted when they hold `FANOUT` runs, entries of one digest folded to the smallest identifier. An arriving digest is a hit if the memtable
+has it, or a run whose filter lets it through; no other run is read. Rows of digests that were hit have their bytes compared with those of
+the row that stays; digests under which bytes differ are grouped again by the whole text.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bounded, map_arrow, release, stash, with_text
+from grainmill.llm.common import bounded, join_by_size, map_arrow, stash, with_text
 
 MEMTABLE_ROWS, FANOUT, BITS_PER_KEY, PROBES = 100_000, 8, 10, 4
-RECORD = struct.Struct("<32s?qqq")  # digest, id is null, identifier, rows, rows with that identifier
-ENTRY = "digest binary, no_id boolean, ident long, n long, n_ident long"
+RECORD = struct.Struct("<32s?qqq?")  # digest, id is null, identifier, rows, rows with that identifier, the digest was hit
+ENTRY = "digest binary, no_id boolean, ident long, n long, n_ident long, hit boolean"
 
 
 class Filter:
@@ -37,21 +38,23 @@ class Filter:
         if digests:
             self.bits[np.frombuffer(b"".join(digests), "<u8").reshape(-1, 4)[:, :PROBES] % np.uint64(self.size)] = True
 
-    def may_hold(self, digest: bytes) -> bool:
-        return bool(self.bits[np.frombuffer(digest, "<u8")[:PROBES] % np.uint64(self.size)].all())
+    def may_hold(self, digests: np.ndarray) -> np.ndarray:
+        """Flags of the digests, given as rows of four 64-bit numbers."""
+        return self.bits[digests[:, :PROBES] % np.uint64(self.size)].all(1)
 
 
 def merged(entries: Iterable[tuple]) -> Iterator[tuple]:
     """Entries sorted by digest, those of one digest folded: smallest identifier (ids before no ids), rows added up."""
     for digest, same in groupby(entries, itemgetter(0)):
-        no_id, ident, n, k = True, None, 0, 0
-        for _, o, i, m, j in same:
+        no_id, ident, n, k, hit, first = True, None, 0, 0, False, True
+        for _, o, i, m, j, h in same:
+            hit, first = hit or h or not first, False
             if ident is None or (o, i) < (no_id, ident):
                 no_id, ident, k = o, i, j
             elif (o, i) == (no_id, ident):
                 k += j
             n += m
-        yield digest, no_id, ident, n, k
+        yield digest, no_id, ident, n, k, hit
 
 
 class Run:
@@ -70,19 +73,25 @@ class Run:
             while part := f.read(RECORD.size * 4096):
                 yield from RECORD.iter_unpack(part)
 
-    def get(self, digest: bytes) -> tuple | None:
-        if not self.filter.may_hold(digest):
-            return None
-        with open(self.path, "rb") as f:
-            low, high = 0, self.n
-            while low < high:
-                mid = (low + high) // 2
-                f.seek(mid * RECORD.size)
-                e = RECORD.unpack(f.read(RECORD.size))
-                if e[0] == digest:
-                    return e
-                low, high = (mid + 1, high) if e[0] < digest else (low, mid)
-        return None
+    def holds(self, digests: np.ndarray) -> np.ndarray:
+        """Which digests the run has; only those that its filter lets through are looked up."""
+        out = self.filter.may_hold(digests)
+        if out.any():
+            with open(self.path, "rb") as f:
+                for i in np.flatnonzero(out):
+                    out[i] = self._find(f, digests[i].tobytes())
+        return out
+
+    def _find(self, f, digest: bytes) -> bool:
+        low, high = 0, self.n
+        while low < high:
+            mid = (low + high) // 2
+            f.seek(mid * RECORD.size)
+            here = f.read(32)
+            if here == digest:
+                return True
+            low, high = (mid + 1, high) if here < digest else (low, mid)
+        return False
 
 
 class LsmIndex:
@@ -94,10 +103,18 @@ class LsmIndex:
         self.rows, self.fanout, self.made = memtable_rows, fanout, 0
         self.folder = tempfile.TemporaryDirectory(prefix="lsm-")
 
-    def put(self, digest: bytes, no_id: bool, ident: int, n: int = 1, k: int = 1) -> None:
-        old = self.table.get(digest)
-        new = (digest, no_id, ident, n, k)
-        self.table[digest] = new if old is None else next(merged([old, new]))
+    def put(self, entries: list[tuple]) -> None:
+        """Add a batch. Entries whose digest the index has already, in the memtable or in a run, are marked as hit."""
+        if not entries:
+            return
+        digests = np.frombuffer(b"".join(e[0] for e in entries), "<u8").reshape(-1, 4)
+        stored = np.zeros(len(entries), bool)
+        for level in self.levels:
+            for run in level:
+                stored |= run.holds(digests)
+        for e, s in zip(entries, stored, strict=True):
+            old, new = self.table.get(e[0]), (*e[:5], e[5] or bool(s))
+            self.table[e[0]] = new if old is None else next(merged([old, new]))
         if len(self.table) >= self.rows:
             self.flush()
 
@@ -121,11 +138,6 @@ class LsmIndex:
         for r in runs:
             os.remove(r.path)
 
-    def get(self, digest: bytes) -> tuple | None:
-        """The folded entry of a digest; runs whose filter excludes it are not read."""
-        found = [e for e in [self.table.get(digest), *(r.get(digest) for level in self.levels for r in level)] if e]
-        return next(merged(found), None)
-
     def entries(self) -> Iterator[tuple]:
         """All entries, folded, by digest."""
         self.flush()
@@ -137,7 +149,7 @@ class LsmIndex:
 
 def _batches(entries: Iterable[tuple], size: int = 10_000) -> Iterator[pa.RecordBatch]:
     part: list[tuple] = []
-    names, kinds = ["digest", "no_id", "ident", "n", "n_ident"], [pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    names, kinds = ["digest", "no_id", "ident", "n", "n_ident", "hit"], [pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
     for e in entries:
         part.append(e)
         if len(part) == size:
@@ -167,8 +179,7 @@ def _index_shard(memtable_rows: int, fanout: int):
         index = LsmIndex(memtable_rows, fanout)
         try:
             for batch in batches:
-                for e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    index.put(*e)
+                index.put(list(zip(*(c.to_pylist() for c in batch.columns), strict=True)))
             yield from _batches(index.entries())
         finally:
             index.close()
@@ -177,7 +188,7 @@ def _index_shard(memtable_rows: int, fanout: int):
 
 
 def build_index(rows: DataFrame, memtable_rows: int = MEMTABLE_ROWS, fanout: int = FANOUT) -> DataFrame:
-    """rows(digest, no_id, ident, n, n_ident) -> one folded entry a digest. An earlier index may be among the rows: indexes merge."""
+    """rows(digest, no_id, ident, n, n_ident, hit) -> one folded entry a digest, hit if it came more than once. An earlier index may be among the rows: indexes merge."""
     runs = map_arrow(rows, _flush_runs(memtable_rows), ENTRY)
     return map_arrow(runs.repartition("digest"), _index_shard(memtable_rows, fanout), ENTRY)
 
@@ -187,7 +198,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32,
 
     Texts are equal when identical; null counts as empty. Of equal texts the row with the smallest (or `largest`) doc_id stays; rows without
     doc_id stay only where no row of the group has one, keep_id then being null. Of rows that repeat both text and doc_id exactly one is
-    kept. An empty table gives an empty result. digest_bytes shortens the digest, for tests of collisions."""
+    kept. Very long texts are compared whole. Columns of the input that have the names of those added are replaced. An empty table gives an
+    empty result. digest_bytes shortens the digest, for tests of collisions."""
     names = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "digest")]
     clash = {c: f"_in_{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
     spark = docs.sparkSession
@@ -195,27 +207,26 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32,
     digest = F.rpad(F.substring(F.unhex(F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256)), 1, digest_bytes), 32, F.lit(b"\0"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(a) for c, a in clash.items())).withColumn("digest", digest)
     order = F.col("doc_id") if keep == "smallest" else F.bitwise_not("doc_id")
-    entries = rows.select("digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce(order, F.lit(0)).alias("ident"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_ident"))
+    entries = rows.select("digest", F.col("doc_id").isNull().alias("no_id"), F.coalesce(order, F.lit(0)).alias("ident"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_ident"), F.lit(False).alias("hit"))
     back = F.col("ident") if keep == "smallest" else F.bitwise_not("ident")
-    index = stash(build_index(entries, memtable_rows, fanout).select("digest", F.when(~F.col("no_id"), back).alias("keep_id"), "n", "n_ident"), "digests")
-    groups = stash(index.where("n > 1"), "groups")
-    small = bounded(groups)
+    index = stash(build_index(entries, memtable_rows, fanout).select("digest", F.when(~F.col("no_id"), back).alias("keep_id"), "n", "n_ident", "hit"), "digests")
+    groups = stash(index.where("hit").drop("hit"), "groups")
     # hits: the bytes of each row of a group against those of the row that stays
-    members = with_text(rows.select("digest", "doc_id", "text")).join(small, "digest")
-    stays = members.where("doc_id <=> keep_id").groupBy("digest").agg(F.min("text").alias("stays"))
-    differ = stash(members.select("digest", "text").join(stays, "digest").where("text <> stays").select("digest").distinct(), "collisions")
+    texts = with_text(rows.select("digest", "doc_id", "text"))
+    stays = texts.join(bounded(groups), "digest").where("doc_id <=> keep_id").groupBy("digest", "n").agg(F.min("text").alias("stays"))
+    differ = join_by_size(texts.select("digest", "text"), stash(stays, "stays"), ["digest"], "n")
+    differ = stash(differ.where("text <> stays").select("digest").distinct(), "collisions")
     mixed = not differ.isEmpty()
-    out = rows.join(index, "digest", "left")
+    out = join_by_size(rows, index.drop("hit"), ["digest"], "n", "left")
     if mixed:
-        again = with_text(rows.select("digest", "doc_id", "text")).join(differ, "digest")
         best = (F.min if keep == "smallest" else F.max)("doc_id")
-        by_text = again.groupBy("digest", F.sha2("text", 512).alias("_t")).agg(best.alias("_keep"), F.count("*").alias("_n"))
+        by_text = texts.join(differ, "digest").groupBy("digest", F.col("text").alias("_t")).agg(best.alias("_keep"), F.count("*").alias("_n"))
         by_text = by_text.withColumn("_k", F.lit(2).cast("long"))  # repeated ids among them are settled below
-        out = out.withColumn("_t", F.sha2(F.coalesce("text", F.lit("")), 512)).join(by_text, ["digest", "_t"], "left")
+        out = out.withColumn("_t", F.coalesce("text", F.lit(""))).join(by_text, ["digest", "_t"], "left")
         hit = F.col("_n").isNotNull()
         out = out.withColumns({"keep_id": F.when(hit, F.col("_keep")).otherwise(F.col("keep_id")), "n": F.coalesce("_n", "n"), "n_ident": F.coalesce("_k", "n_ident")})
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    group = [F.col("digest"), F.sha2(F.coalesce("text", F.lit("")), 512)] if mixed else [F.col("digest")]
+    group = [F.col("digest"), F.coalesce("text", F.lit(""))] if mixed else [F.col("digest")]
     if mixed or not groups.where("n_ident > 1").isEmpty():  # the same id and text more than once: one row of them stays
         from pyspark.sql import Window
 

@@ -1,10 +1,11 @@
 """License scan with DataFrame functions only.
 
-Texts become ASCII words; five neighbouring words that all occur in some template make a shingle, so prose adds next to nothing to a
-window's set. Windows of WINDOW words overlap by half, for texts and templates alike; so do, for each number of shingles that a template
-has, windows of twice that many, which hold a notice of that size whole and at least half of it, whatever notices stand beside it. Each
-window's MinHash (one value a band) meets those of the templates of its size in a join; bands_for() gives the number of bands at which
-windows as similar as an intact notice collide with the wanted probability. Every retrieved template is then verified: the share of its shingles that the document contains.
+Texts become ASCII words and these five-word shingles. For every template a text is seen through the template's own shingles, so that
+neither prose nor other notices beside it dilute a window's set. Windows overlap: they hold twice as many positions as the template has
+shingles and begin at every multiple of that number, and the whole text is the last and widest window, for notices that are spread out.
+Each window's MinHash (one value a band) meets the template's in a join; bands_for() gives the number of bands at which a window that
+contains the wanted share of a template, and so has that Jaccard similarity with it, collides with the wanted probability. The widest
+window has it wherever a document contains that share. Every retrieved template is then verified: the share of its shingles that the document contains.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.common import stash
 
-SHINGLE, CONTAINED, WINDOW = 5, 0.8, 64
-#: Least Jaccard similarity of a notice's window with its template's, and the wanted probability that they meet in a band.
-SIMILAR, PROBABLE = 0.3, 0.999
+SHINGLE, CONTAINED = 5, 0.8
+#: The wanted probability that a window with the wanted share of a template meets it in a band.
+PROBABLE = 1 - 1e-9
 
 # The notices looked for, by SPDX identifier.
 TEMPLATES = {
@@ -55,9 +56,9 @@ TEMPLATES = {
 }
 
 
-def bands_for(similar: float = SIMILAR, probable: float = PROBABLE) -> int:
+def bands_for(similar: float = CONTAINED, probable: float = PROBABLE) -> int:
     """Bands of one value with which sets of that similarity share a value with that probability: 1 - (1 - s)^b >= p."""
-    return math.ceil(math.log(1 - probable) / math.log(1 - similar))
+    return math.ceil(math.log(1 - probable) / math.log(1 - similar)) if similar < 1 else 1
 
 
 def words_of(text: Column) -> Column:
@@ -80,15 +81,10 @@ def shingles_of(words: Column, known: Column | None = None) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))).alias("hash")))
 
 
-def windows(rows: DataFrame, *keys: str, lengths: Column | None = None) -> DataFrame:
-    """rows(keys, pos, hash) -> keys, length, window, sig array<long>: the MinHash of each window of the lengths (even; WINDOW by default)
-    that has a shingle."""
-    each = rows.withColumn("length", F.explode(F.array(F.lit(WINDOW)) if lengths is None else lengths))
-    at = F.floor(F.col("pos") / (F.col("length") / 2)).cast("int")
-    each = each.withColumn("window", F.explode(F.array(at, at - 1)))
-    keys = (*keys, "length")
-    lows = [F.min(F.xxhash64("hash", F.lit(k))).alias(f"m{k}") for k in range(bands_for())]
-    return each.groupBy(*keys, "window").agg(*lows).select(*keys, "window", F.array(*(f"m{k}" for k in range(bands_for()))).alias("sig"))
+def min_hashes(rows: DataFrame, bands: int, *keys: str) -> DataFrame:
+    """rows(keys, hash) -> keys, band, low: the least of each band's hashes in every group."""
+    lows = [F.min(F.xxhash64("hash", F.lit(k))).alias(f"m{k}") for k in range(bands)]
+    return rows.groupBy(*keys).agg(*lows).select(*keys, F.posexplode(F.array(*(f"m{k}" for k in range(bands)))).alias("band", "low"))
 
 
 def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -103,28 +99,28 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, conta
     contains at least the share `contained` of its distinct five-word shingles.
 
     Null and empty texts and texts of fewer than five words give no row. Rows that repeat both doc_id and text are reported once; rows that
-    share an id with other texts, or have none, are reported each. Other columns are not read. templates: as TEMPLATES, of five words or more each."""
+    share an id with other texts, or have none, are reported each. Very long texts are read whole. A template of which exactly the share is
+    found is reported. Other columns are not read; an empty table gives no rows. templates: as TEMPLATES, of five words or more each."""
     templates = templates or TEMPLATES
-    spark = docs.sparkSession
+    spark, bands = docs.sparkSession, bands_for(contained)
     vocabulary = sorted({w for t in templates.values() for w in _words(t)})
+    wanted = template_shingles(spark, templates)  # a table of fixed size, as are all that are made of it
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("tag"), words_of(F.col("text")).alias("words"))
     rows = rows.select("doc_id", "tag", "words", F.transform("words", lambda w: w.isin(vocabulary)).alias("known"))
     found = rows.select("doc_id", "tag", F.explode(shingles_of(F.col("words"), F.col("known"))).alias("s"))
-    found = stash(found.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tag", "s.pos", "s.hash"), "shingles")
-    wanted = template_shingles(spark, templates)
-    bands = lambda df, *keys: df.select(*keys, "length", F.posexplode("sig").alias("band", "low"))
-    twice = {k: 2 * (len(_words(t)) - SHINGLE + 1) for k, t in templates.items()}
-    own = F.create_map(*(F.lit(x) for pair in twice.items() for x in pair))[F.col("license")]
-    ours = bands(windows(wanted, "license", lengths=F.array_distinct(F.array(F.lit(WINDOW), own))), "license").distinct()
-    every = F.array(*(F.lit(n) for n in sorted({WINDOW, *twice.values()})))
-    theirs = bands(windows(found, "no_id", "id", "tag", lengths=every), "no_id", "id", "tag")
-    retrieved = theirs.join(F.broadcast(ours), ["length", "band", "low"]).select("no_id", "id", "tag", "license").distinct()
-    distinct = wanted.select("license", "hash").distinct()
-    sizes = distinct.groupBy("license").agg(F.count("*").alias("n_template"))
-    parts = retrieved.join(F.broadcast(distinct), "license").join(F.broadcast(sizes), "license")
-    counts = found.groupBy("no_id", "id", "tag", "hash").agg(F.min("pos").alias("pos"))
-    hits = parts.join(counts, ["no_id", "id", "tag", "hash"]).groupBy("no_id", "id", "tag", "license", "n_template").agg(F.count("*").alias("n_found"), F.min("pos").alias("first_word"))
+    found = found.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tag", "s.pos", "s.hash")
+    found = stash(found.join(F.broadcast(wanted.select("hash", "license").distinct()), "hash"), "shingles")
+    text, sizes = ["no_id", "id", "tag"], {k: len(_words(t)) - SHINGLE + 1 for k, t in templates.items()}
+    step = F.create_map(*(F.lit(x) for pair in sizes.items() for x in pair))[F.col("license")]
+    at = F.floor(F.col("pos") / step).cast("int")
+    seen = found.withColumn("window", F.explode(F.array(at, at - 1, F.lit(-2))))  # -2: the whole text
+    ours = min_hashes(wanted, bands, "license")
+    theirs = min_hashes(seen, bands, *text, "license", "window")
+    retrieved = theirs.join(F.broadcast(ours), ["license", "band", "low"]).select(*text, "license").distinct()
+    distinct = wanted.select("license", "hash").distinct().groupBy("license").agg(F.count("*").alias("n_template"))
+    counts = found.groupBy(*text, "license", "hash").agg(F.min("pos").alias("pos")).groupBy(*text, "license").agg(F.count("*").alias("n_found"), F.min("pos").alias("first_word"))
+    hits = retrieved.join(counts, [*text, "license"]).join(F.broadcast(distinct), "license")
     out = hits.withColumn("containment", F.col("n_found") / F.col("n_template")).where(F.col("containment") >= contained)
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "license", F.col("n_template"), "n_found", "containment", F.col("first_word").cast("long").alias("first_word"))
 

@@ -1,9 +1,9 @@
 """Media columns with content-defined payload chunks.
 
 A text becomes the payload of an 8-bit mono PCM file (a 44-byte RIFF header, then one sample a byte). A rolling gear hash cuts payloads
-into chunks; chunk digests meet in Spark joins, so that every distinct chunk is stored once. The table `recipes` has each document's
-ordered chunk list; the store has whole payloads where no chunk is shared with another payload, and single chunks elsewhere, so that only
-payloads that share chunks move between executors. Reading joins lists and store, puts the media together and checks every digest.
+into chunks; chunk digests meet in Spark joins, so that every distinct chunk is stored once. A stored medium is its header, the ordered list
+of its chunks' digests, and the bytes of those chunks that no other medium stores. Reading puts every medium together by its list, from its
+own chunks and from those that others store, and checks every digest; only media that share chunks move between executors.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bounded, map_arrow, raw, release, stash
+from grainmill.llm.common import bounded, join_by_size, map_arrow, raw, release, stash
 
 UNIT, RATE = 192, 8_000
 SMALLEST, LARGEST, MASK_BITS = 512, 8_192, 11
 GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 RECIPE = "doc_id long, tag long, n_bytes long, recipe binary, payload_bytes long, chunks array<binary>"
-STORED = "whole boolean, key binary, data binary"
+STORED = "recipe binary, head binary, chunks array<binary>, data array<binary>"
 READ = "recipe binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -33,8 +33,8 @@ def payload_of(text: bytes) -> bytes:
 
 
 def header_of(n: int) -> bytes:
-    """RIFF/WAVE header of n 8-bit mono samples."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", (36 + n) & 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n & 0xFFFFFFFF)
+    """RIFF/WAVE header of n 8-bit mono samples; its sizes have 32 bits, which Spark's longest string does not reach."""
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n, b"WAVE", b"fmt ", 16, 1, 1, RATE, RATE, 1, 8, b"data", n)
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -74,8 +74,8 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def recipe_of(n: int, digests: list[bytes]) -> bytes:
-    return digest(b"".join([header_of(n), *digests]))
+def recipe_of(head: bytes, digests: list[bytes]) -> bytes:
+    return digest(b"".join([head, *digests]))
 
 
 def feature_of(payload: bytes) -> str:
@@ -90,10 +90,14 @@ def feature_of(payload: bytes) -> str:
     return f"ms={n * 1000 // RATE};mean={mean:.4f};dev={spread:.4f};entropy={-float((p * np.log2(p)).sum()):.4f};turns={turns};peak={int(data.max())}"
 
 
-def describe(payload: bytes, digests: list[bytes], recipe: bytes) -> tuple:
-    if recipe_of(len(payload), digests) != recipe:
-        raise ValueError("stored chunks do not give the recorded media")
-    head = header_of(len(payload))
+def rebuilt(recipe: bytes, head: bytes, order: list[bytes], held: dict[bytes, bytes]) -> tuple:
+    """The columns of a medium, put together by its ordered list from the chunks held; raises where a digest does not hold."""
+    for name in set(order):
+        if digest(held[name]) != name:
+            raise ValueError("a stored chunk does not match its digest")
+    if recipe_of(head, order) != recipe:
+        raise ValueError("header and list are not those of the recorded medium")
+    payload = b"".join(held[name] for name in order)
     media = hashlib.sha256(head)
     media.update(payload)
     return recipe, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(head) + len(payload), media.hexdigest(), feature_of(payload)
@@ -119,91 +123,94 @@ def _recipes(batches):
         for p in _payloads(batch.column(2)):
             sizes.append(len(p))
             lists.append([digest(c) for c in chunked(p)])
-        recipes = [recipe_of(n, x) for n, x in zip(sizes, lists, strict=True)]
+        recipes = [recipe_of(header_of(n), x) for n, x in zip(sizes, lists, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(recipes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lists, pa.list_(pa.binary()))], [x.split()[0] for x in RECIPE.split(", ")])
 
 
 def _store(batches):
-    """Columns: text, write (false for copies), skip (null: nothing is shared, else the chunks that another payload stores)."""
+    """Columns: text, write (false for copies), skip (places of chunks that another medium stores). A chunk that a medium has twice is
+    stored at its first place."""
+    kinds = [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
     for batch in batches:
-        whole, keys, data, held = [], [], [], 0
+        rows, held = [], 0
         write, skip = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for i, p in enumerate(_payloads(batch.column(0))):
             if write[i] is False:
                 continue
-            parts = chunked(p)
-            names = [digest(c) for c in parts]
-            if skip[i] is None:
-                whole.append(True), keys.append(recipe_of(len(p), names)), data.append(p)
-            else:
-                left = set(skip[i])
-                for k, (name, c) in enumerate(zip(names, parts, strict=True)):
-                    if k not in left:
-                        whole.append(False), keys.append(name), data.append(c)
+            parts, head = chunked(p), header_of(len(p))
+            names, seen, data = [digest(c) for c in parts], set(), []
+            for k, name in enumerate(names):
+                data.append(None if name in seen or k in (skip[i] or ()) else parts[k])
+                seen.add(name)
+            rows.append((recipe_of(head, names), head, names, data))
             held += len(p)
             if held > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(whole, pa.bool_()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["whole", "key", "data"])
-                whole, keys, data, held = [], [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(whole, pa.bool_()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], ["whole", "key", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], STORED_NAMES)
+                rows, held = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 4, kinds, strict=True)], STORED_NAMES)
 
 
-def _read_whole(batches):
-    for batch in batches:
-        rows = []
-        for key, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append(describe(p, [digest(c) for c in chunked(p)], key))
-        yield _described(rows)
+STORED_NAMES = ["recipe", "head", "chunks", "data"]
 
 
-def _read_lists(batches):
+def _read(batches):
+    """Rows (recipe, head, chunks, data) and, where others store some chunks, more: a list of (key, data)."""
     for batch in batches:
         rows = []
         for i in range(batch.num_rows):
-            parts = {c["seq"]: (c["key"], c["data"]) for c in batch.column(1)[i].as_py()}
-            if any(digest(d) != k for k, d in parts.values()):
-                raise ValueError("a stored chunk does not match its digest")
-            order = [parts[k] for k in sorted(parts)]
-            rows.append(describe(b"".join(d for _, d in order), [k for k, _ in order], batch.column(0)[i].as_py()))
+            order = batch.column(2)[i].as_py()
+            held = {k: d for k, d in zip(order, batch.column(3)[i].as_py(), strict=True) if d is not None}
+            if batch.num_columns > 4:
+                held |= {x["key"]: x["data"] for x in batch.column(4)[i].as_py()}
+            rows.append(rebuilt(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), order, held))
         yield _described(rows)
 
 
 def write_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(recipes, store) of docs(doc_id, text), both written to the shared folder."""
+    """(recipes, store) of docs(doc_id, text), both written to the shared folder. recipes: a row for every row of docs; store: STORED."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("tag"), "text")
     recipes = stash(map_arrow(rows, _recipes, RECIPE), "recipes")
     # one owner a recipe; of its chunks those that other recipes have too are stored by the smallest of these
-    owners = stash(recipes.groupBy("recipe").agg(F.min(F.struct(F.col("doc_id").isNull().alias("o"), "doc_id", "tag")).alias("owner")), "owners")
-    owned = recipes.join(owners.select("recipe", F.col("owner.doc_id").alias("own_id"), F.col("owner.tag").alias("own_tag")), "recipe")
-    is_owner = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("tag") == F.col("own_tag"))
-    parts = owned.where(is_owner).dropDuplicates(["recipe"]).select("recipe", "doc_id", "tag", F.posexplode("chunks").alias("seq", "key"))
-    parts = stash(parts, "chunks")
-    shared = parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("recipe", "seq")).alias("keeper")).where("n > 1").select("key", "keeper")
-    elsewhere = (F.col("keeper.recipe") != F.col("recipe")) | (F.col("keeper.seq") != F.col("seq"))
-    mixed = parts.join(shared, "key").groupBy("doc_id", "tag").agg(F.lit(True).alias("write"), F.collect_list(F.when(elsewhere, F.col("seq"))).alias("skip"))
-    copies = owned.where(~is_owner).select("doc_id", "tag", F.lit(False).alias("write"), F.array().cast("array<int>").alias("skip")).distinct()
-    special = stash(mixed.unionByName(copies).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "write", "skip"), "special")
-    told = rows.join(bounded(special), F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
-    store = stash(map_arrow(told.select("text", "write", "skip"), _store, STORED), "store")
-    release(docs.sparkSession, owners, parts, special)
+    who = [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tag"]
+    owners = stash(recipes.groupBy("recipe").agg(F.min(F.struct(*who)).alias("owner"), F.count("*").alias("copies")).select("recipe", "owner.*", "copies"), "owners")
+    told, key = recipes.select("recipe", *who, "chunks"), ["recipe", "no_id", "id", "tag"]
+    owned = told.join(owners.drop("copies"), key, "left_semi")
+    parts = stash(owned.dropDuplicates(["recipe"]).select("recipe", "no_id", "id", "tag", F.posexplode("chunks").alias("seq", "key")), "chunks")
+    shared = parts.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("recipe", "seq")).alias("keeper")).where("n > 1")
+    shared = stash(shared.select("key", "n", F.col("keeper.recipe").alias("in"), F.col("keeper.seq").alias("at")), "shared")
+    elsewhere = F.when(F.col("in") != F.col("recipe"), F.col("seq"))
+    mixed = join_by_size(parts, shared, ["key"], "n").groupBy("no_id", "id", "tag").agg(F.lit(True).alias("write"), F.collect_list(elsewhere).alias("skip"))
+    copies = told.drop("chunks").join(owners.select(*key), key, "left_anti")
+    copies = copies.select("no_id", "id", "tag", F.lit(False).alias("write"), F.array().cast("array<int>").alias("skip")).distinct()
+    special = stash(mixed.unionByName(copies), "special")
+    flagged = rows.select(*who, "text").join(bounded(special), ["no_id", "id", "tag"], "left")
+    store = stash(map_arrow(flagged.select("text", "write", "skip"), _store, STORED), "store")
+    release(docs.sparkSession, owners, parts, shared, special)
     return recipes, store
 
 
-def read_media(recipes: DataFrame, store: DataFrame) -> DataFrame:
-    """A row for every recipe, from the stored bytes alone."""
-    alone = map_arrow(store.where("whole").select("key", "data"), _read_whole, READ)
-    kept = store.where("whole").select(F.col("key").alias("recipe"))
-    lists = recipes.select("recipe", "chunks").join(kept, "recipe", "left_anti").dropDuplicates(["recipe"]).select("recipe", F.posexplode("chunks").alias("seq", "key"))
-    pieces = lists.join(store.where("not whole").select("key", "data"), "key")
-    joined = pieces.groupBy("recipe").agg(F.collect_list(F.struct("seq", "key", "data")).alias("parts"))
-    return alone.unionByName(map_arrow(joined, _read_lists, READ)).dropDuplicates(["recipe"])
+def read_media(store: DataFrame) -> DataFrame:
+    """A row (READ) for every recipe, from the stored bytes alone."""
+    own = F.transform(F.filter(F.arrays_zip("chunks", "data"), lambda x: x["data"].isNotNull()), lambda x: x["chunks"])
+    missing = F.array_except("chunks", own)
+    alone = map_arrow(store.where(F.size(missing) == 0).select(*STORED_NAMES), _read, READ)
+    asked = stash(store.where(F.size(missing) > 0).dropDuplicates(["recipe"]).select("recipe", F.explode(missing).alias("key")), "asked")
+    wanted = stash(asked.groupBy("key").agg(F.count("*").alias("n")), "wanted")
+    pieces = store.select(F.explode(F.arrays_zip("chunks", "data")).alias("x")).select(F.col("x.chunks").alias("key"), F.col("x.data").alias("data")).where("data IS NOT NULL")
+    given = stash(pieces.join(bounded(wanted), "key").dropDuplicates(["key"]), "given")
+    more = join_by_size(asked, given, ["key"], "n").groupBy("recipe").agg(F.collect_list(F.struct("key", "data")).alias("more"))
+    joined = store.where(F.size(missing) > 0).join(more, "recipe").select(*STORED_NAMES, "more")
+    return alone.unionByName(map_arrow(joined, _read, READ)).dropDuplicates(["recipe"])
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes and what reading the stored media back gives; one row for every row.
 
-    Null text is empty, an empty payload is 192 spaces. Rows with equal payloads share one stored payload, whatever their ids; null and
-    repeated ids are kept. Other columns are not returned."""
+    Null text is empty, an empty payload is 192 spaces; very long texts are stored and read whole. Rows with equal payloads share one stored
+    medium, whatever their ids; null and repeated ids are kept. Other columns are not read or returned; an empty table gives no rows."""
     recipes, store = write_media(docs)
-    found = stash(read_media(recipes, store), "media")
-    return recipes.select("doc_id", "n_bytes", "recipe").join(found, "recipe").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    copies = recipes.groupBy("recipe").agg(F.count("*").alias("copies"))
+    found = stash(read_media(store).join(copies, "recipe"), "media")
+    out = join_by_size(recipes.select("doc_id", "n_bytes", "recipe"), found, ["recipe"], "copies")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

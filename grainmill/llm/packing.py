@@ -8,6 +8,10 @@ the list of patterns (at most ROUNDS + capacity) reach the driver; pieces get th
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
@@ -30,60 +34,129 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Fixed value: the pattern by which the tokenizers library's ByteLevel splits texts.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write each byte as a printable character: itself if it prints, else the next one from U+0100 on."""
+    from tokenizers import pre_tokenizers
+
+    prints = sorted(ord(c) for c in pre_tokenizers.ByteLevel.alphabet() if ord(c) < 256)
+    moved = [b for b in range(256) if b not in prints]
+    return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(moved)}
+
+
+def _ranks(model: dict, special: set[str]) -> dict[bytes, int]:
+    byte = _byte_of()
+    return {bytes(byte[c] for c in w): i for w, i in model["vocab"].items() if w not in special}
+
+
 @lru_cache(maxsize=2)
-def vocabulary(path: str):
-    """The tokenizers library reads the file; its vocabulary in order of ids gives the merge ranks by which tiktoken encodes, at a fraction
-    of the time. The first texts of every worker are encoded by both, and where they differ all are left to tokenizers."""
-    import os
+def merges_are_ranks(path: str) -> bool:
+    """Whether merging by ranks, as tiktoken does, gives the ids of the file's BPE model for every text that both split alike.
+
+    So it is if ids rise in the order of the merges and every merged token, put together from bytes by the lower ranks alone, comes down to
+    the two parts that its merge names: then no other two neighbours can ever make that token. Looked at once, for the whole vocabulary."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    same_split = (split.get("type"), split.get("add_prefix_space"), split.get("use_regex", True)) == ("ByteLevel", False, True)
+    special = {t["content"] for t in file.get("added_tokens", [])}
+    if not (plain and same_split and file.get("normalizer") is None and all(t["special"] for t in file.get("added_tokens", []))):
+        return False
+    byte, ranks = _byte_of(), _ranks(model, special)
+    pairs = [tuple(bytes(byte[c] for c in w) for w in (m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    ids = [ranks.get(x + y, -1) for x, y in pairs]
+    letters = {ranks.get(bytes([b]), -1) for b in range(256)}
+    if -1 in ids or -1 in letters or ids != sorted(set(ids)) or max(letters) > min(ids, default=256) or len(ranks) != 256 + len(ids):
+        return False
+    for (x, y), rank in zip(pairs, ids, strict=True):
+        parts = [bytes([b]) for b in x + y]
+        while len(parts) > 2:
+            low, at = min((ranks.get(parts[i] + parts[i + 1], rank), i) for i in range(len(parts) - 1))
+            if low >= rank:
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if tuple(parts) != (x, y):
+            return False
+    return True
+
+
+@lru_cache(maxsize=1)
+def _unsettled():
+    """Characters that libraries of different Unicode versions may count as letters, numbers or white space differently: those that came to
+    or left these classes since version 3.2, and those not assigned yet."""
+    old, runs = unicodedata.ucd_3_2_0.category, []
+    for c in range(0x110000):
+        now = unicodedata.category(chr(c))
+        if now == "Cn" or (now[0] in "LN" and now[0] != old(chr(c))[0]) or (now[0] not in "LN" and old(chr(c))[0] in "LN") or c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str, quick: bool):
+    """Encoder of lists of texts into the ids of the tokenizers file. If quick, which merges_are_ranks() has to allow, merges are done by
+    tiktoken at a fraction of the time; texts with characters that the two may split differently are left to tokenizers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer, pre_tokenizers
+    from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
     slow = lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    # byte-level vocabularies write each byte as a printable character: itself if it prints, else the next one from U+0100 on
-    letters = pre_tokenizers.ByteLevel.alphabet()
-    prints = sorted(ord(c) for c in letters if ord(c) < 256)
-    moved = [b for b in range(256) if b not in prints]
-    byte = {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(moved)}
-    special = set(t.get_added_tokens_decoder())
-    ranks = {bytes(byte[c] for c in w): i for w, i in t.get_vocab().items() if i not in special}
-    quick = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    fast, checked = text_encoder(quick, lambda chunk: slow([chunk])[0]), []
+    if not quick or public_tokenizers.PATTERN != BYTE_LEVEL:
+        return slow
+    ranks = _ranks({"vocab": t.get_vocab(with_added_tokens=False)}, {x.content for x in t.get_added_tokens_decoder().values()})
+    encoding = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    fast, unsettled = text_encoder(encoding, lambda chunk: slow([chunk])[0]), _unsettled()
 
     def ids(texts: list[str]) -> list[list[int]]:
-        if not checked and texts:
-            some = [t[:20_000] for t in texts[:50]]
-            checked.append(slow(some) == fast(some))
-        return fast(texts) if checked and checked[0] else slow(texts)
+        odd = [i for i, x in enumerate(texts) if not x.isascii() and unsettled.search(x)]
+        if not odd:
+            return fast(texts)
+        out, left = fast(["" if i in set(odd) else x for i, x in enumerate(texts)]), slow([texts[i] for i in odd])
+        for i, x in zip(odd, left, strict=True):
+            out[i] = x
+        return out
 
     return ids
 
 
-def dearest(lengths: np.ndarray, prices: np.ndarray, limit: np.ndarray, capacity: int) -> dict[int, int]:
-    """The pattern of the highest price that fits (lengths may repeat), no length more often than limit allows."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], k = best[c - 1], fits[c]
-        if k:
-            v = best[c - lengths[:k]] + prices[:k]
-            i = int(v.argmax())
-            if v[i] > best[c]:
-                best[c], choice[c] = v[i], i
+def bundles(lengths: np.ndarray, limit: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+    """(index, copies): each length's pieces that fit and are there, in bundles of 1, 2, 4 .. copies, any number of which can be put together."""
+    out = []
+    for i, length in enumerate(lengths):
+        left, size = min(int(limit[i]), capacity // int(length)), 1
+        while left > 0:
+            size = min(size, left)
+            out.append((i, size))
+            left, size = left - size, size * 2
+    return out
+
+
+def dearest(lengths: np.ndarray, prices: np.ndarray, items: list[tuple[int, int]], capacity: int) -> dict[int, int]:
+    """The pattern of the highest price that fits, made of bundles of copies: a bounded knapsack, so no length is used more often than it is there."""
+    best, taken = np.zeros(capacity + 1), np.zeros((len(items), capacity + 1), bool)
+    for k, (i, n) in enumerate(items):
+        w = n * int(lengths[i])
+        with_it = best[: capacity + 1 - w] + n * prices[i]
+        np.greater(with_it, best[w:], out=taken[k, w:])
+        np.maximum(best[w:], with_it, out=best[w:])
     used: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
-            continue
-        i = int(choice[c])
-        used[i] = used.get(i, 0) + 1
-        c -= int(lengths[i])
-    return {i: min(n, int(limit[i])) for i, n in used.items()}
+    for k in range(len(items) - 1, -1, -1):
+        if taken[k, c]:
+            i, n = items[k]
+            used[i] = used.get(i, 0) + n
+            c -= n * int(lengths[i])
+    return used
 
 
 def relaxed(lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple, float], np.ndarray]:
@@ -91,8 +164,9 @@ def relaxed(lengths: np.ndarray, count: np.ndarray, capacity: int, rounds: int)
     share STEP of its scarcest length is covered, and lowers the prices of what it holds."""
     prices, covered = lengths / capacity, np.zeros(len(lengths))
     amounts: dict[tuple, float] = {}
+    items = bundles(lengths, count, capacity)
     for _ in range(rounds):
-        pattern = dearest(lengths, prices, count, capacity)
+        pattern = dearest(lengths, prices, items, capacity)
         step = STEP * min(count[i] / n for i, n in pattern.items())
         amounts[key] = amounts.get(key := tuple(sorted(pattern.items())), 0.0) + step
         for i, n in pattern.items():
@@ -162,9 +236,10 @@ def cuts(n: int, capacity: int, short_first: bool) -> list[int]:
 
 def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int, short_first: bool = False) -> DataFrame:
     """One row a piece; `task` and `nth` number the pieces of a length within an input partition."""
+    quick = merges_are_ranks(vocabulary_path)
 
     def run(batches: Iterable[pa.RecordBatch]):
-        encode, seen, task = vocabulary(vocabulary_path), {}, TaskContext.get().partitionId()
+        encode, seen, task = vocabulary(vocabulary_path, quick), {}, TaskContext.get().partitionId()
         for batch in batches:
             _, bounds = raw(batch.column(1))
             for first, last in blocks(bounds):
@@ -192,7 +267,7 @@ def best_fit_packing(docs: DataFrame, vocabulary_path: str | None = None, capaci
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = slots(solve(histogram, capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    base = stash(each.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")
+    base = stash(each.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "ranks")  # a row a task and length
     ranked = pieces.join(bounded(base), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
     held = pieces.sparkSession.sparkContext.broadcast(places)  # at most (ROUNDS + capacity) patterns
 

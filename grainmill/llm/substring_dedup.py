@@ -1,11 +1,12 @@
 """Suffix-array dedup of substrings over a whole corpus, sharded by content.
 
 Every window of `length` bytes goes to the shard named by its smallest GRAM-byte hash, so equal windows meet wherever they are.
-Consecutive windows with the same name form a segment (at most RUN windows). Segments that occur in one document only, which are nearly
-all, are dropped by one window aggregate; a segment equal to one of a document with a smaller id is removed as a whole; groups that hold
-different segments go, one copy of each, through a Burrows-Wheeler transform (bwt.py) that finds their common windows. A group of more
-rows than HOT_ROWS is dealt out by the windows' own hashes. Only bytes of such segments and spans of removed bytes are ever shuffled
-beside the texts, which are joined by document twice.
+Consecutive windows with the same name form a segment (at most RUN windows). Segments are compared by 128-bit digests of their bytes: of
+equal ones all but those of the smallest document are removed as a whole, most of them already in the task that reads them, so that a
+passage that very many documents have leaves few rows. Segments that occur in one document only, which are nearly all, are dropped by one
+window aggregate; groups that hold different segments go, one copy of each, through a Burrows-Wheeler transform (bwt.py) that finds their
+common windows. A group of more rows than HOT_ROWS is dealt out by the windows' own hashes. Only bytes of such segments and spans of
+removed bytes are ever shuffled beside the texts, which are joined by document twice.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainmill.llm.bwt import shared_windows
-from grainmill.llm.common import map_arrow, raw, release, stash
-from grainmill.llm.wordhash import BASE, VALUES, mix, prefix, spans
+from grainmill.llm.common import bounded, map_arrow, raw, release, stash
+from grainmill.llm.wordhash import BASE, OTHER_VALUES, VALUES, mix, prefix, spans
 
 LENGTH, GRAM, RUN, HOT_ROWS = 50, 16, 64, 50_000
-BLOCK, SHARD_BYTES = 1 << 15, 1 << 17
+BLOCK, SHARD_BYTES, TAGS = 1 << 15, 1 << 17, 1 << 23
 
 
 def names(data: np.ndarray, length: int) -> np.ndarray:
@@ -43,7 +44,7 @@ def names(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(name, content hash, position, bytes) of the segments of one text; each window belongs to one segment."""
+    """(name, two content hashes, position, bytes) of the segments of one text; each window belongs to one segment."""
     out = []
     for at in range(0, len(data) - length + 1, BLOCK):
         part = data[at : at + BLOCK + length - 1]
@@ -58,11 +59,25 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         else:
             lo, hi = turn[:-1], turn[1:]
         end = hi + length - 1
-        out.append((h[lo].view(np.int64), spans(prefix(part), lo, end).view(np.int64), lo + at, end - lo))
+        out.append((h[lo].view(np.int64), *(spans(prefix(part, v), lo, end).view(np.int64) for v in (VALUES, OTHER_VALUES)), lo + at, end - lo))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _settled(h: np.ndarray, s: np.ndarray, s2: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which segments equal one of a smaller document among these rows."""
+    key = mix(s.view(np.uint64) ^ mix(h.view(np.uint64)))
+    order = np.argsort(key)
+    k = key[order]
+    start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[order][1:] != s[order][:-1]) | (s2[order][1:] != s2[order][:-1]) | (h[order][1:] != h[order][:-1])]))
+    least = np.repeat(np.minimum.reduceat(doc[order], start), np.diff(np.append(start, len(k))))
+    out = np.empty(len(h), bool)
+    out[order] = doc[order] > least
+    return out
+
+
 def _segment_rows(length: int):
+    """(doc, tag, text) -> (h, s, s2, doc, at). at: tag, position and size; negative where the segment is settled, which then has a name of its own."""
+
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
             data, bounds = raw(batch.column(2))
@@ -70,19 +85,22 @@ def _segment_rows(length: int):
             part, held = [], 0
             for i in range(batch.num_rows):
                 if bounds[i + 1] - bounds[i] >= length:
-                    h, s, pos, size = segments(data[bounds[i] : bounds[i + 1]], length)
-                    part.append((h, s, np.full(len(h), doc[i]), np.full(len(h), tag[i]), pos << 8 | size))
+                    h, s, s2, pos, size = segments(data[bounds[i] : bounds[i + 1]], length)
+                    part.append((h, s, s2, np.full(len(h), doc[i]), pos << 8 | size | int(tag[i]) << 40))
                     held += len(h)
                 if part and (held > 200_000 or i == batch.num_rows - 1):
-                    h, s, d, t, at = (np.concatenate(x) for x in zip(*part, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, s, d, at | t << 40)], ["h", "s", "doc", "at"])
+                    h, s, s2, d, at = (np.concatenate(x) for x in zip(*part, strict=True))
+                    done = _settled(h, s, s2, d)
+                    h = np.where(done, mix(d.view(np.uint64) * BASE + at.view(np.uint64)).view(np.int64), h)
+                    at = np.where(done, at | np.int64(-1 << 63), at)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, s, s2, d, at)], ["h", "s", "s2", "doc", "at"])
                     part, held = [], 0
 
     return run
 
 
 def _cut_segments(length: int):
-    """(text, [(h, s, doc, at, hot)]) -> rows of shard key, h, s, offset of the piece in its segment, owner, bytes."""
+    """(text, [(h, s, s2, doc, at, hot)]) -> rows of shard key, h, s, s2, offset of the piece in its segment, owner, bytes."""
 
     def run(batches):
         for batch in batches:
@@ -96,9 +114,9 @@ def _cut_segments(length: int):
                     if e["hot"]:
                         k = np.arange(size - length + 1)
                         own = mix(spans(prefix(piece), k, k + length) ^ np.uint64(e["h"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
-                        rows += [(int(g), e["h"], e["s"], int(o), e["doc"], piece[o : o + length].tobytes()) for o, g in zip(k, own, strict=True)]
+                        rows += [(int(g), e["h"], e["s"], e["s2"], int(o), e["doc"], piece[o : o + length].tobytes()) for o, g in zip(k, own, strict=True)]
                     else:
-                        rows.append((e["h"], e["h"], e["s"], 0, e["doc"], piece.tobytes()))
+                        rows.append((e["h"], e["h"], e["s"], e["s2"], 0, e["doc"], piece.tobytes()))
                 if len(rows) > 20_000:
                     yield _pieces(rows)
                     rows = []
@@ -108,17 +126,17 @@ def _cut_segments(length: int):
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], ["g", "h", "s", "o", "owner", "piece"])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], ["g", "h", "s", "s2", "o", "owner", "piece"])
 
 
 def _find(length: int):
     """Rows sorted by shard key; whole groups are gathered up to SHARD_BYTES and searched together."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
-        found = shared_windows([r[5] for r in rows], np.array([r[4] for r in rows], np.int64), length)
-        out = [(rows[k][1], rows[k][2], rows[k][3] + a, rows[k][3] + b - 1 + length) for k, a, b in found]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 4)], ["h", "s", "lo", "hi"])
+        found = shared_windows([r[6] for r in rows], np.array([r[5] for r in rows], np.int64), length)
+        out = [(*rows[k][1:4], rows[k][4] + a, rows[k][4] + b - 1 + length) for k, a, b in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 5)], ["h", "s", "s2", "lo", "hi"])
 
     def run(batches):
         held, size = [], 0
@@ -128,7 +146,7 @@ def _find(length: int):
                     yield search(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[5])
+                size += len(r[6])
         if held:
             yield search(held)
 
@@ -160,37 +178,46 @@ def _remove(batches):
                 first, kept, removed, runs, size, held = i + 1, [], [], [], [], 0
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc, tag, spans) of the documents that lose bytes; written to the shared folder."""
-    spark = docs.sparkSession
-    rows = _keyed(docs).where("doc_id is not null")
-    found = map_arrow(rows.select("doc_id", "tag", "text"), _segment_rows(length), "h long, s long, doc long, at long")
-    group, content = Window.partitionBy("h"), Window.partitionBy("h", "s")
+def removed_spans(keyed: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """keyed(doc_id, tag, text) -> (doc, tag, spans) of the documents that lose bytes; written to the shared folder."""
+    spark = keyed.sparkSession
+    rows = keyed.where("doc_id is not null")
+    found = map_arrow(rows.select("doc_id", "tag", "text"), _segment_rows(length), "h long, s long, s2 long, doc long, at long")
+    group, content = Window.partitionBy("h"), Window.partitionBy("h", "s", "s2")
     met = (
-        found.withColumns({"least": F.min("doc").over(group), "most": F.max("doc").over(group), "mixed": F.min("s").over(group) < F.max("s").over(group), "hot": F.count("*").over(group) > hot_rows})
-        .where("least < most")
+        found.repartition("h").sortWithinPartitions("h", "s", "s2")  # one sort for both windows
+        .withColumns({"least": F.min("doc").over(group), "most": F.max("doc").over(group), "mixed": F.min("s").over(group) < F.max("s").over(group), "hot": F.count("*").over(group) > hot_rows})
+        .where("least < most or at < 0")
         .withColumn("first", F.min("doc").over(content))
-        .where("mixed or doc > first")
-        .select("h", "s", "doc", "at", "first", "mixed", "hot")
+        .where("mixed or doc > first or at < 0")
+        .select("h", "s", "s2", "doc", "at", "first", "mixed", "hot")
     )
     met = stash(met, "segments")
-    size, pos, tag = F.col("at").bitwiseAND(0xFF), F.shiftright("at", 8).bitwiseAND(0xFFFFFFFF), F.shiftright("at", 40)
-    whole = met.where("doc > first").select("doc", tag.alias("tag"), pos.alias("lo"), (pos + size).alias("hi"))
-    reps = met.where("doc = first and mixed")
-    one = reps.groupBy("h", "s").agg(F.min(F.struct("doc", "at", "hot")).alias("x")).select("h", "s", "x.doc", "x.at", "x.hot")
-    wanted = one.withColumn("tag", F.shiftright("at", 40)).groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "s", "doc", "at", "hot")).alias("cut"))
-    pieces = map_arrow(rows.join(wanted, (F.col("doc_id") == F.col("doc")) & (rows["tag"] == wanted["tag"])).select("text", "cut"), _cut_segments(length), "g long, h long, s long, o int, owner long, piece binary")
-    hits = map_arrow(pieces.repartition("g").sortWithinPartitions("g"), _find(length), "h long, s long, lo long, hi long")
-    part = reps.select("h", "s", "doc", tag.alias("tag"), pos.alias("pos")).join(hits, ["h", "s"]).select("doc", "tag", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    size, pos, tag = F.col("at").bitwiseAND(0xFF), F.shiftright("at", 8).bitwiseAND(0xFFFFFFFF), F.shiftright("at", 40).bitwiseAND(TAGS - 1)
+    whole = met.where("doc > first or at < 0").select("doc", tag.alias("tag"), pos.alias("lo"), (pos + size).alias("hi"))
+    reps = met.where("doc = first and mixed and at >= 0")
+    one = reps.groupBy("h", "s", "s2").agg(F.min(F.struct("doc", "at", "hot")).alias("x")).select("h", "s", "s2", "x.doc", "x.at", "x.hot")
+    wanted = one.withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "s", "s2", "doc", "at", "hot")).alias("cut"))
+    pieces = map_arrow(rows.join(wanted, (F.col("doc_id") == F.col("doc")) & (rows["tag"] == wanted["tag"])).select("text", "cut"), _cut_segments(length), "g long, h long, s long, s2 long, o int, owner long, piece binary")
+    hits = map_arrow(pieces.repartition("g").sortWithinPartitions("g"), _find(length), "h long, s long, s2 long, lo long, hi long")
+    part = reps.select("h", "s", "s2", "doc", tag.alias("tag"), pos.alias("pos")).join(hits, ["h", "s", "s2"]).select("doc", "tag", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     out = stash(whole.unionByName(part).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     release(spark, met)
     return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """tag: 24 bits of the text's hash, signed; rows that repeat an id with another text are told apart by it."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    return rows.withColumn("tag", F.shiftright(F.xxhash64("text"), 40))
+    """docs with doc_id as long, text as bytes (null: empty), and tag: a number for each text of an id that has several, 0 elsewhere."""
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("binary"), F.lit(b""))})
+    texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.sha2("text", 256).alias("_sha"))
+    several = texts.groupBy("_id").agg(F.min("_sha").alias("x"), F.max("_sha").alias("y")).where("x < y").select("_id")
+    several = stash(several, "several")
+    if several.isEmpty():
+        return rows.withColumn("tag", F.lit(0).cast("long"))
+    order = Window.partitionBy("_id").orderBy("_sha")
+    told = stash(texts.join(bounded(several), "_id").distinct().withColumn("_tag", F.row_number().over(order).cast("long")), "tags")
+    told = bounded(told)
+    return rows.join(told, (F.col("doc_id") == F.col("_id")) & (F.sha2("text", 256) == F.col("_sha")), "left").withColumn("tag", F.coalesce("_tag", F.lit(0))).drop("_id", "_sha", "_tag")
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -199,19 +226,22 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_R
     Removes each byte covered by a `length`-byte string that also starts in a document with a smaller doc_id; texts are UTF-8 bytes, null is
     empty. Rows with equal ids do not remove each other's bytes; rows without an id neither lose bytes nor cause losses. Texts shorter than
     `length` are kept whole. Other columns are not returned (see replace_text)."""
-    gone = removed_spans(docs, length, hot_rows).select("doc", F.col("tag").alias("t"), "spans")
-    rows = _keyed(docs)
-    joined = rows.join(gone, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("t")), "left")
+    keyed = _keyed(docs.select("doc_id", "text"))
+    gone = removed_spans(keyed, length, hot_rows).select("doc", F.col("tag").alias("t"), "spans")
+    joined = keyed.join(gone, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("t")), "left")
     return map_arrow(joined.select("doc_id", "text", "spans"), _remove, "row long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def replace_text(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with the kept bytes as text, in the same columns: rows that lose nothing are as before, null texts too. Where a removal cuts a
-    character of several bytes in two, its remaining bytes go as well. n_chars, if there is one, is the new text's length."""
-    gone = removed_spans(docs, length, hot_rows).select(F.col("doc").alias("_doc"), F.col("tag").alias("_t"), F.col("spans").alias("_spans"))
+    character of several bytes in two, its remaining bytes go as well. n_chars, if there is one, is the new text's length. Columns may have
+    any names."""
     names = docs.columns
-    rows = docs.withColumn("_tag", F.shiftright(F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))), 40))
-    joined = rows.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_t")), "left")
+    inner = {c: f"in_{i}" for i, c in enumerate(names)}  # names that clash with none used here
+    rows = docs.select(F.struct(*(F.col(f"`{c}`").alias(k) for c, k in inner.items())).alias("row"), "doc_id", "text")
+    keyed = _keyed(rows)
+    gone = removed_spans(keyed.select("doc_id", "tag", "text"), length, hot_rows).select("doc", F.col("tag").alias("t"), "spans")
+    joined = keyed.join(gone, (F.col("doc_id") == F.col("doc")) & (F.col("tag") == F.col("t")), "left")
     at = names.index("text")
 
     def cut(batches):
@@ -227,11 +257,9 @@ def replace_text(docs: DataFrame, length: int = LENGTH, hot_rows: int = HOT_ROWS
                 part = pa.RecordBatch.from_arrays([pa.array([0]), column.slice(i, 1).cast(pa.binary()), spans_of.slice(i, 1)], ["row", "text", "spans"])
                 out.append(next(_remove([part])).column(4)[0].as_py().decode("utf-8", "ignore"))
                 sizes.append(len(out[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : -1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "_n"])
-
-    flat = joined.select(*names, "_spans")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n long"
-    done = map_arrow(flat, cut, schema)
-    if "n_chars" in names:
-        done = done.withColumn("n_chars", F.coalesce(F.col("_n").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return done.select(*names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : -1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "n_left"])
+
+    flat = joined.select("row.*", "spans")
+    done = map_arrow(flat, cut, ", ".join(f"{inner[f.name]} {f.dataType.simpleString()}" for f in docs.schema) + ", n_left long")
+    size = lambda c: F.coalesce(F.col("n_left").cast(docs.schema[c].dataType), F.col(inner[c]))
+    return done.select(*((size(c) if c == "n_chars" else F.col(k)).alias(c) for c, k in inner.items()))

@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are present or absent: words and their stems, pairs of neighbours and pairs with one word between. Per-coordinate rates and the L1 term leave
+Features are present or absent: words, pairs of neighbours and pairs with one word between. Per-coordinate rates and the L1 term leave
 most weights at zero, so the model is a short list that a broadcast can carry. It is fitted in one task on a bounded sample.
 """
 
@@ -14,36 +14,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.common import BLOCK_BYTES, blocks, labelled_sample, map_arrow, raw, stash, with_text
-from grainmill.llm.wordhash import LOWER, mix, prefix, spans, words
+from grainmill.llm.wordhash import LOWER, mix, word_values, words
 
 BITS, ALPHA, BETA, L1, L2, EPOCHS = 20, 3.0, 1.0, 6.0, 0.0, 10
 #: Labelled rows that the model is fitted on at most.
 TRAIN_ROWS = 10_000
-#: Bytes of the stems of longer words, which back off from inflected and compound words.
-STEMS = (4, 5, 6, 7, 8)
 IS_WORD = np.zeros(256, bool)
 for _a, _b in (("0", "9"), ("a", "z"), ("A", "Z")):
     IS_WORD[ord(_a) : ord(_b) + 1] = True
 IS_WORD[128:] = True  # parts of letters beyond ASCII
 
 
-def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs of a block of texts; a feature may repeat within a row."""
-    data = LOWER[data]
-    start, end = words(data, IS_WORD)
-    # a word of bytes that reach over a row's end belongs to the row that holds its start: split it there
-    row = np.searchsorted(bounds, start, side="right") - 1
-    over = end > bounds[row + 1]
-    if over.any():
-        pieces = [(max(s, lo), min(e, hi), r) for r, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) for s, e in zip(*words(data[lo:hi], IS_WORD), strict=True) for s, e in [(s + lo, e + lo)]]
-        start, end, row = (np.array(x, np.int64) for x in zip(*pieces, strict=True)) if pieces else (np.zeros(0, np.int64),) * 3
-    sums = prefix(data)
-    one = spans(sums, start, end)
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, hash) of every word of the rows data[bounds[i]:bounds[i + 1]], in order. Rows are laid out with a separator after each."""
+    size = np.diff(bounds)
+    laid = np.zeros(int(size.sum()) + len(size), np.uint8)
+    inside = np.ones(len(laid), bool)
+    ends = np.cumsum(size + 1) - 1
+    inside[ends] = False
+    laid[inside] = LOWER[data[bounds[0] : bounds[-1]]]
+    start, end = words(laid, IS_WORD)
+    return np.searchsorted(ends, start), word_values(laid, start, end)
+
+
+def _parts(data: np.ndarray) -> Iterable[np.ndarray]:
+    """A very long text in blocks cut between words; a word longer than a block is not cut."""
+    at = 0
+    while at < len(data):
+        end = at + BLOCK_BYTES
+        while end < len(data) and not (gap := np.flatnonzero(~IS_WORD[data[max(at, end - BLOCK_BYTES) : end]])).size:
+            end += BLOCK_BYTES
+        if end < len(data):
+            end = max(at, end - BLOCK_BYTES) + int(gap[-1]) + 1
+        yield data[at : min(end, len(data))]
+        at = end
+
+
+def grams(row: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs of words in order: the words, pairs of neighbours, pairs with one word between. A feature may repeat within a row."""
     out, rows = [one], [row]
-    for n in STEMS:
-        longer = end - start > n
-        out.append(mix(spans(sums, start[longer], start[longer] + n) + np.uint64(n)))
-        rows.append(row[longer])
     for gap in (1, 2):
         same = row[gap:] == row[:-gap]
         out.append(mix(one[:-gap] * np.uint64(3) + one[gap:] * np.uint64(5) + np.uint64(gap))[same])
@@ -51,29 +60,16 @@ def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _pieces(data: np.ndarray) -> Iterable[np.ndarray]:
-    """A very long text in blocks cut at spaces; pairs across a cut are found by repeating the last words."""
-    at = 0
-    while len(data) - at > BLOCK_BYTES:
-        space = np.flatnonzero(data[at + BLOCK_BYTES // 2 : at + BLOCK_BYTES] == 32)
-        cut = at + BLOCK_BYTES // 2 + (int(space[-1]) if len(space) else BLOCK_BYTES // 2)
-        yield data[at:cut]
-        back = np.flatnonzero(data[max(at, cut - 4096) : cut] == 32)
-        at = max(at + 1, max(at, cut - 4096) + int(back[-3])) if len(back) >= 3 and max(at, cut - 4096) + int(back[-3]) > at else cut
-    yield data[at:]
-
-
 def features(column: pa.Array) -> Iterable[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, row offsets, features) by blocks of rows."""
+    """(first row, last row, row offsets, features) by blocks of rows. A text of any length gives the features of its whole word sequence."""
     data, bounds = raw(column)
     for first, last in blocks(bounds):
         if bounds[last] - bounds[first] <= BLOCK_BYTES:
-            row, f = grams(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first])
-        else:
-            parts = [grams(p, np.array([0, len(p)]))[1] for p in _pieces(data[bounds[first] : bounds[last]])]
-            f = np.concatenate(parts)
-            row = np.zeros(len(f), np.int64)
-        yield first, last, row, f
+            row, one = word_hashes(data, bounds[first : last + 1])
+        else:  # one text
+            one = np.concatenate([word_hashes(p, np.array([0, len(p)]))[1] for p in _parts(data[bounds[first] : bounds[last]])])
+            row = np.zeros(len(one), np.int64)
+        yield first, last, *grams(row, one)
 
 
 def fit(sample: Iterable[tuple[float, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

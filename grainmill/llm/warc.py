@@ -1,14 +1,15 @@
 """WARC archives as seekable Zstandard bundles.
 
 Records are grouped into independent Zstandard frames; a bundle ends with a seek table in a skippable frame (the public seekable format),
-and its index maps every record to (frame, offset in the frame's content, length). Bundles are rows of a table in the shared folder, so any
-store that Spark reaches can hold them; export_bundles() writes them as files.
+and its index maps every record identifier to (frame, offset in the frame's content, length). Bundles are rows of a table in the shared folder,
+so any store that Spark reaches can hold them; export_bundles() writes them and their indexes as files, find_records() opens single records.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import struct
 import uuid
@@ -19,15 +20,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.common import bounded, map_arrow, stash
+from grainmill.llm.common import bounded, join_by_size, map_arrow, stash
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 1 << 23, 3
 DATE = "2000-01-01T00:00:00Z"
 #: Fixed values of the seekable format and of the WARC revisit profile.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
-BUNDLE = "bundle_id string, data binary, records array<struct<page_id: long, frame: int, offset: long, length: long>>"
+INDEX = pa.list_(pa.struct([("record_id", pa.string()), ("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
+BUNDLE = "bundle_id string, data binary, records array<struct<record_id: string, page_id: long, frame: int, offset: long, length: long>>"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -75,10 +76,10 @@ class BundleWriter:
         self.out, self.held, self.size = [], [], 0
         self.index: list[dict] = []
 
-    def add(self, page_id: int | None, record: bytes) -> None:
+    def add(self, page_id: int | None, name: str, record: bytes) -> None:
         if self.size and self.size + len(record) > self.frame_bytes:
             self.cut()
-        self.index.append({"page_id": page_id, "frame": len(self.frames), "offset": self.size, "length": len(record)})
+        self.index.append({"record_id": name, "page_id": page_id, "frame": len(self.frames), "offset": self.size, "length": len(record)})
         self.held.append(record)
         self.size += len(record)
 
@@ -124,11 +125,12 @@ def write_bundles(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes
     """pages(page_id, url, html) -> the stored table of bundles. Among equal payloads the smallest page_id is the response.
 
     Null html is an empty payload. A page without page_id revisits where a page with an id has its payload, else it is a response; rows that
-    repeat both page_id and payload are all responses. Other columns are ignored; an empty table gives no bundles."""
+    repeat both page_id and payload are all responses and share a record identifier. A very long html is one record of one frame of its own
+    size. Other columns are ignored; an empty table gives no bundles."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("sha", F.sha2("payload", 256))
-    groups = stash(rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "payloads")
-    told = rows.join(bounded(groups), "sha", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    groups = stash(rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "payloads")
+    told = join_by_size(rows, groups, ["sha"], "n", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(w: BundleWriter) -> pa.RecordBatch:
@@ -139,7 +141,7 @@ def write_bundles(pages: DataFrame, frame_bytes: int = FRAME_BYTES, bundle_bytes
         for batch in batches:
             for i in range(batch.num_rows):
                 page, url, payload, refers_to = (c[i].as_py() for c in batch.columns)
-                w.add(page, write_record(page, url, payload, refers_to))
+                w.add(page, record_id(page, payload_digest(payload)), write_record(page, url, payload, refers_to))
                 if w.bytes_held() >= bundle_bytes:
                     yield row(w)
                     w = BundleWriter(frame_bytes)
@@ -161,7 +163,7 @@ def read_bundles(bundles: DataFrame, payloads: bool = False) -> DataFrame:
                 for e in batch.column(1)[i].as_py():
                     fields, payload = read_record(reader.record(e["frame"], e["offset"], e["length"]))
                     page, to, kind = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID"), fields["WARC-Type"]
-                    if (page and int(page)) != e["page_id"]:
+                    if (page and int(page)) != e["page_id"] or fields["WARC-Record-ID"] != e["record_id"]:
                         raise ValueError("the index names another record")
                     rows.append((e["page_id"], len(payload) if kind == "response" else None, fields["WARC-Payload-Digest"][5:], kind, int(to) if to else None))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -170,17 +172,39 @@ def read_bundles(bundles: DataFrame, payloads: bool = False) -> DataFrame:
     read = stash(map_arrow(bundles.select("data", "records"), run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     revisits = read.where("record_type = 'revisit'").drop("payload_bytes")
-    needed = revisits.select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
-    full = read.where("record_type = 'response'").join(needed, ["page_id", "payload_digest"], "left_semi").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
-    return read.where("record_type = 'response'").select(names).unionByName(revisits.join(full, ["refers_to", "payload_digest"]).select(names))
+    needed = stash(revisits.groupBy(F.col("refers_to").alias("page_id"), "payload_digest").agg(F.count("*").alias("n")), "needed")
+    full = read.where("record_type = 'response'").join(bounded(needed), ["page_id", "payload_digest"])
+    full = stash(full.groupBy(F.col("page_id").alias("refers_to"), "payload_digest", "n").agg(F.max("payload_bytes").alias("payload_bytes")), "responses")
+    told = join_by_size(revisits, full, ["refers_to", "payload_digest"], "n")
+    return read.where("record_type = 'response'").select(names).unionByName(told.select(names))
+
+
+def find_records(bundles: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids(record_id) -> record_id, header, payload of each: only the frames that hold them are opened. Identifiers that no bundle has give no row."""
+    each = bundles.select("bundle_id", F.explode("records").alias("r")).select("bundle_id", "r.*")
+    wanted = each.join(ids.select("record_id").distinct(), "record_id").groupBy("bundle_id")
+    wanted = wanted.agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length", "record_id"))).alias("wanted"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                reader = BundleReader(batch.column(0)[i].as_py())
+                for e in batch.column(1)[i].as_py():
+                    fields, payload = read_record(reader.record(e["frame"], e["offset"], e["length"]))
+                    yield pa.RecordBatch.from_arrays([pa.array([e["record_id"]]), pa.array([list(fields.items())], pa.map_(pa.string(), pa.string())), pa.array([payload], pa.binary())], ["record_id", "header", "payload"])
+
+    return map_arrow(bundles.join(wanted, "bundle_id").select("data", "wanted"), run, "record_id string, header map<string, string>, payload binary")
 
 
 def export_bundles(bundles: DataFrame, folder: str) -> list[str]:
-    """Write each bundle as a .warc.zst file in a folder that the driver can write, one bundle in memory at a time."""
+    """Write each bundle as a .warc.zst file, and its index as JSON lines beside it, in a folder that the driver can write, one bundle in
+    memory at a time. Returns the bundles' names."""
     os.makedirs(folder, exist_ok=True)
     names = []
-    for r in bundles.select("bundle_id", "data").toLocalIterator():
+    for r in bundles.select("bundle_id", "data", "records").toLocalIterator():
         names.append(os.path.join(folder, f"{r['bundle_id']}.warc.zst"))
         with open(names[-1], "wb") as f:
             f.write(r["data"])
+        with open(f"{names[-1]}.idx.jsonl", "w") as f:
+            f.writelines(json.dumps(e.asDict()) + "\n" for e in r["records"])
     return names
