@@ -323,13 +323,63 @@ def test_long_texts_have_the_features_of_their_whole_word_sequence(monkeypatch):
         monkeypatch.undo()
         flat = lambda parts: sorted((first + int(x), int(y)) for first, _, row, f in parts for x, y in zip(row, f))
         assert flat(whole) == flat(cut)
-        # the features by plain words
-        one = lambda w: int(toxicity.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[1][0])
-        hashes = np.array([one(w) for w in re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", texts[3])], np.uint64)
-        want = toxicity.grams(np.full(len(hashes), 3), hashes)
+        # the words and pairs are those of a plain split
+        listed_ = re.findall(r"(?:[0-9A-Za-z]|[^\x00-\x7f])+", texts[3])
+        each = [toxicity.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])) for w in listed_]
+        row, one, _, cut = (np.concatenate(x) for x in zip(*each))
+        want = toxicity.grams(np.full(len(one), 3), one, np.full(len(cut), 3), cut)
         assert sorted(y for x, y in flat(whole) if x == 3) == sorted(map(int, want[1]))
 
 
+def test_ftrl_by_plain_loops(monkeypatch):
+    r = np.random.default_rng(2)
+    sample = [(float(k % 2), np.unique(r.integers(0, 40, 6) + 40 * (k % 2 and k % 3))) for k in range(60)]
+    at, w = toxicity.fit(sample)
+    z, n = {}, {}
+    top = 1 << toxicity.BITS
+    weigh = lambda i: 0.0 if abs(z.get(i, 0.0)) <= toxicity.L1 else -(z[i] - np.sign(z[i]) * toxicity.L1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(5).permutation(len(sample)):
+            y, f = sample[k]
+            f = [*map(int, f), top]
+            ws = {i: weigh(i) for i in f}
+            g = 1 / (1 + np.exp(-sum(ws.values()))) - y
+            for i in f:
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (n[i] ** 0.5 - before**0.5) / toxicity.ALPHA * ws[i]
+    want = {i: weigh(i) for i in z if weigh(i)}
+    assert set(map(int, at)) == set(want) and all(abs(want[int(i)] - x) < 1e-6 for i, x in zip(at, w))
+
+
+def test_network_by_plain_loops_and_differences():
+    p = {k: v.astype(np.float64) for k, v in quality.start(3).items()}
+    r = np.random.default_rng(4)
+    for size in (0, 5, 40, 700, 1500):
+        text = r.integers(0, 256, size).astype(np.uint8)
+        n = max(1, -(-size // quality.STRIDE))
+        at = lambda i: p["embed"][text[i] if i < size else 256]
+        acts = [np.maximum(sum(at(k * quality.STRIDE + j) @ p["conv"].reshape(quality.WIDTH, quality.EMBED, -1)[j] for j in range(quality.WIDTH)) + p["conv_b"], 0) for k in range(n)]
+        blocks = [np.max(acts[i : i + quality.BLOCK], axis=0) for i in range(0, n, quality.BLOCK)]
+        pooled = [np.maximum(a, b) for a, b in zip(blocks, blocks[1:])] or blocks
+        fill = [1.0] * (len(pooled) - 1) + [np.log1p(size - (len(pooled) - 1) * quality.BLOCK * quality.STRIDE) / np.log1p(2 * quality.BLOCK * quality.STRIDE)]
+        h = np.array([np.maximum(np.append(v, f) @ p["hide"] + p["hide_b"], 0) for v, f in zip(pooled, fill)])
+        want = float(np.concatenate([h.max(0), h.mean(0)]) @ p["out"] + p["out_b"][0])
+        single = {k: v.astype(np.float32) for k, v in p.items()}
+        assert abs(quality.forward(single, text)[0] - want) < 1e-3
+    text = r.integers(97, 123, 600).astype(np.uint8)
+    single = quality.start(3)
+    s, kept = quality.forward(single | {"train": True}, text)
+    g = {k: np.zeros_like(v) for k, v in single.items()}
+    quality.backward(single, g, text, kept, 1.0)
+    for name, v in single.items():
+        for i in np.argsort(-np.abs(g[name]).ravel())[:3]:
+            moved = {k: x.copy() for k, x in single.items()}
+            moved[name].ravel()[i] += 1e-2
+            rise = (quality.forward(moved, text)[0] - s) / 1e-2
+            assert abs(rise - g[name].ravel()[i]) < 0.05 + 0.1 * abs(g[name].ravel()[i]), name
+
+
 def test_encoders_are_proved_equal_or_not_used(tmp_path):
     import json
 
