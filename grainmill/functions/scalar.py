@@ -117,6 +117,24 @@ def preview(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(" [cut]"))).otherwise(text)
 
 
+def canonical_scene(dataset: Column, scene: Column) -> Column:
+    """A physical scene: without the data set's name before it, in lower case, and without the number of the visit."""
+    plain = F.lower(scene)
+    for mark in ("/", "__"):
+        before = F.concat(F.lower(dataset), F.lit(mark))
+        plain = F.when(plain.startswith(before), F.substring(plain, F.length(before) + 1, F.length(plain))).otherwise(plain)
+    return F.regexp_replace(plain, r"_\d{2}$", "")
+
+
+def zoned_time(text: Column) -> Column:
+    """The instant of an ISO text with a time zone; null without one."""
+    return F.when(text.rlike(r"T.*(?:Z|[+-]\d{2}:?\d{2})$"), text.try_cast("timestamp"))
+
+
+def fresh(at: Column, now: Column, seconds: int) -> Column:
+    return F.coalesce(F.abs(F.unix_seconds(at) - F.unix_seconds(now)) <= seconds, F.lit(False))
+
+
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode normal form C, which Spark has no function for."""
@@ -128,9 +146,26 @@ def one_spaced(text: Column) -> Column:
 
 
 def slot_names(text: Column, vocabulary: list[str]) -> Column:
-    """The vocabulary's words in a text, longest first where several begin at one place, each once, by first appearance."""
-    words = "|".join(re.escape(w) for w in sorted(vocabulary, key=lambda w: (-len(w), w)))
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"((?<!\w)(?:{words})(?!\w))")))
+    """The vocabulary's words in a text, the longest where several begin at one place, each once, by first appearance.
+
+    Texts and vocabulary are cut into runs of letters and digits and runs of signs; from left to right, a match uses up its pieces."""
+    piece, sep = r"(\w+|[^\w\s]+)", "\u0001"
+    known = {sep.join(re.findall(piece, w)): w for w in vocabulary}
+    longest = max((k.count(sep) + 1 for k in known), default=1)
+    names = F.create_map(*(F.lit(x) for kv in known.items() for x in kv)) if known else F.lit(None).cast("map<string,string>")
+    pieces = F.regexp_extract_all(text, F.lit(piece))
+    run = lambda i, n: F.element_at(names, F.array_join(F.slice(pieces, i, F.lit(n)), sep))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))), lambda i: i <= F.size(pieces))
+    none = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("names"))
+
+    def step(state: Column, i: Column) -> Column:
+        found = [(n, run(i, n)) for n in range(longest, 0, -1)]
+        name = F.coalesce(*(x for _, x in found))
+        size = F.coalesce(*(F.when(x.isNotNull(), F.lit(n)) for n, x in found))
+        hit = (i >= state["free"]) & name.isNotNull()
+        return F.struct(F.when(hit, i + size).otherwise(state["free"]).alias("free"), F.when(hit, F.concat(state["names"], F.array(name))).otherwise(state["names"]).alias("names"))
+
+    return F.array_distinct(F.aggregate(at, none, step, lambda s: s["names"]))
 
 
 def template(text: Column, names: Column) -> Column:

@@ -68,21 +68,28 @@ def canonical_frame(pose: pd.Series, up: pd.Series) -> pd.Series:
     """The 3 x 4 transform, row by row, to axes with the camera of a 3 x 4 pose (row by row) at the origin, +Z up and +Y its heading; a
     camera that looks along the vertical gives its heading by its right axis. Null where neither axis has a horizontal part, or the
     pose or up is null, not finite or of another length. numpy, since one nested expression would repeat its parts thousands of times."""
-    return pd.Series([_canonical(p, u) for p, u in zip(pose, up, strict=True)], dtype=object)
-
-
-def _canonical(pose, up) -> list[float] | None:
-    if pose is None or up is None or len(pose) != 12 or len(up) != 3:
-        return None
-    m, z = np.asarray(pose, float).reshape(3, 4), np.asarray(up, float)
-    size = np.linalg.norm(z)
-    if not np.isfinite(m).all() or not np.isfinite(z).all() or size < 1e-8:
-        return None
-    z = z / size
-    forward, right = (v - z * (z @ v) for v in (m[:, 2], m[:, 0]))
-    y = forward if np.linalg.norm(forward) > 1e-6 else np.cross(z, right)
-    if np.linalg.norm(y) <= 1e-6:
-        return None
-    y = y / np.linalg.norm(y)
-    axes = np.array([np.cross(y, z), y, z])
-    return np.column_stack([axes, -axes @ m[:, 3]]).ravel().tolist()
+    sound = [p is not None and u is not None and len(p) == 12 and len(u) == 3 for p, u in zip(pose, up, strict=True)]
+    out = pd.Series([None] * len(pose), dtype=object)
+    if any(sound):
+        told, usable = _frames(np.array([list(p) for p, ok in zip(pose, sound, strict=True) if ok], float).reshape(-1, 3, 4), np.array([list(u) for u, ok in zip(up, sound, strict=True) if ok], float))
+        for i, rows, ok in zip(np.flatnonzero(sound), told, usable, strict=True):
+            out.iloc[i] = rows.ravel().tolist() if ok else None
+    return out
+
+
+def _frames(poses: np.ndarray, ups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(3 x 4 transforms, whether each is defined) of a batch. The heading is the view's shadow on the horizontal plane; where it has none,
+    the heading to which the right axis' shadow is perpendicular."""
+    finite = np.isfinite(poses).all((1, 2)) & np.isfinite(ups).all(1)
+    poses, ups = (np.where(finite.reshape(-1, *(1,) * (x.ndim - 1)), x, 1.0) for x in (poses, ups))
+    length = np.linalg.norm(ups, axis=1, keepdims=True)
+    z = ups / np.maximum(length, 1e-300)
+    onto_plane = np.eye(3) - z[:, :, None] * z[:, None, :]
+    shadows = np.einsum("nij,njk->nik", onto_plane, poses[:, :, :3])
+    view, side = shadows[:, :, 2], np.cross(z, shadows[:, :, 0])
+    heading = np.where(np.linalg.norm(view, axis=1, keepdims=True) > 1e-6, view, side)
+    size = np.linalg.norm(heading, axis=1, keepdims=True)
+    y = heading / np.maximum(size, 1e-300)
+    turn = np.stack([np.cross(y, z), y, z], axis=1)
+    moved = -np.einsum("nij,nj->ni", turn, poses[:, :, 3])
+    return np.concatenate([turn, moved[:, :, None]], axis=2), finite & (length[:, 0] >= 1e-8) & (size[:, 0] > 1e-6)

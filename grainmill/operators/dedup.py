@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 def keep_first_log(df: DataFrame, same: Column, key: str) -> DataFrame:
     """key, kept_key, dropped for every row."""
-    w = Window.partitionBy(same)
-    return df.select(key, F.min(key).over(w).alias("kept_key")).withColumn("dropped", F.col(key) != F.col("kept_key"))
+    rows = df.select(key, same.alias("_same"))
+    first = rows.groupBy("_same").agg(F.min(key).alias("kept_key"), F.count("*").alias("_n")).where("_n > 1").drop("_n")  # partial minima, no window over a hot text
+    first = first.withColumnRenamed("_same", "_other")
+    out = rows.join(first, F.col("_same").eqNullSafe(F.col("_other")), "left").select(key, F.coalesce("kept_key", F.col(key)).alias("kept_key"))
+    return out.withColumn("dropped", F.col(key) != F.col("kept_key"))
 
 
 def refuse_conflicts(df: DataFrame, same: Column, answer: str, key: str) -> DataFrame:

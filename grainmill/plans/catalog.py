@@ -57,8 +57,8 @@ def _cents(c):
 def split_contamination_census(t):
     d = t.documents.select("doc_id", "lang", "source", fn.normal_text(F.col("text")).alias("t"))
     firsts = d.groupBy(F.xxhash64("t").alias("x"), F.sha2("t", 256).alias("k")).agg(F.min("doc_id").alias("first_id")).select("k", "first_id")
-    passages = t.benchmark.select(fn.normal_text(F.col("text")).alias("p")).distinct()  # a fixed benchmark, not a part of the corpus
-    hits = d.join(F.broadcast(passages), F.col("t").contains(F.col("p")), "left_semi").select("doc_id", F.lit(True).alias("hit"))
+    passages = t.benchmark.select("item_id", fn.normal_text(F.col("text")).alias("p"))
+    hits = joins.contained(d.select("doc_id", "t"), passages, F.contains(F.col("t"), F.col("p"))).select("doc_id", F.lit(True).alias("hit")).distinct()
     rows = d.withColumn("k", F.sha2("t", 256)).drop("t").join(firsts, "k").join(hits, "doc_id", "left").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     dup, hit = F.col("doc_id") != F.col("first_id"), F.coalesce("hit", F.lit(False))
     return rows.groupBy("lang", fn.split_side(F.col("source"), 17, 0.1).alias("side")).agg(
@@ -106,9 +106,10 @@ def provenance_merge(t):
 @query(f"""WITH d AS (SELECT source, {NORMAL.format("text")} AS t FROM documents), b AS (SELECT DISTINCT {NORMAL.format("text")} AS p FROM benchmark)
     SELECT source, count(*) AS n FROM d WHERE EXISTS (SELECT 1 FROM b WHERE contains(d.t, b.p)) GROUP BY 1""")
 def benchmark_overlap(t):
-    d = t.documents.select("source", fn.normal_text(F.col("text")).alias("t"))
-    p = t.benchmark.select(fn.normal_text(F.col("text")).alias("p")).distinct()
-    return d.join(F.broadcast(p), F.col("t").contains(F.col("p")), "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+    d = t.documents.select("doc_id", "source", fn.normal_text(F.col("text")).alias("t"))
+    p = t.benchmark.select("item_id", fn.normal_text(F.col("text")).alias("p"))
+    hits = joins.contained(d, p, F.contains(F.col("t"), F.col("p"))).select("doc_id", "source").distinct()
+    return hits.groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT reason, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN n_chars < 200 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'language' END,
@@ -285,7 +286,13 @@ def share_cap(t):
 @query()
 def capped_greedy_select(t):
     rows = t.documents.select("doc_id", "lang", "source", F.sha2(F.concat(F.lit("s6|"), F.col("doc_id").cast("string")), 256).alias("h"))
-    return select.capped_greedy(rows, ["h", "doc_id"], {"lang": 40, "source": 9}, 120, "doc_id long, lang string, source string, h string")
+    return select.capped_greedy(rows, "h", "doc_id", {"lang": 40, "source": 9}, 120)
+
+
+@query()
+def shrinking_fixpoint_select(t):
+    rows = t.documents.select("doc_id", "lang", "source", F.sha2(F.concat(F.lit("s7|"), F.col("doc_id").cast("string")), 256).alias("h"))
+    return select.shrinking_select(rows, "h", "doc_id", lambda total: {"lang": total // 3 + 1, "source": total // 8 + 1}, 160)
 
 
 # ---- windows and joins
@@ -314,9 +321,9 @@ def nearest_non_null_fill(t):
 
 
 @query("""SELECT CASE WHEN r IS NULL THEN 'left only' WHEN l IS NULL THEN 'right only' ELSE 'both' END AS state, count(*) AS n
-    FROM (SELECT DISTINCT o_orderkey AS l FROM orders WHERE o_orderkey % 7 <> 0) FULL JOIN (SELECT DISTINCT l_orderkey AS r FROM lineitem) ON l = r GROUP BY 1""")
+    FROM (SELECT DISTINCT c_custkey AS l FROM customer) FULL JOIN (SELECT DISTINCT o_custkey AS r FROM orders) ON l = r GROUP BY 1""")
 def exact_set_reconcile(t):
-    return joins.reconcile(t.orders.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k")), t.lineitem.select(F.col("l_orderkey").alias("k")), "k")
+    return joins.reconcile(t.customer.select(F.col("c_custkey").alias("k")), t.orders.select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, lead(role) OVER w AS nr, lead(turn) OVER w AS nt FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role))
@@ -401,8 +408,8 @@ def numeric_token_support(t):
 
 @query("""SELECT doc_id, item_id, instr(d.text, b.text) AS at, (length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text) AS times FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def citation_resolve_exact(t):
-    b = F.broadcast(t.benchmark.select("item_id", F.col("text").alias("quote")))  # a fixed benchmark
-    x = t.documents.select("doc_id", "text").join(b, F.col("text").contains(F.col("quote")))
+    b = t.benchmark.select("item_id", F.col("text").alias("p"), F.col("text").alias("quote"))
+    x = joins.contained(t.documents.select("doc_id", "text", F.col("text").alias("t")), b, F.contains(F.col("t"), F.col("p")))
     return x.select("doc_id", "item_id", F.expr("instr(text, quote)").cast("long").alias("at"), F.expr("(length(text) - length(replace(text, quote, ''))) div length(quote)").alias("times"))
 
 
@@ -445,22 +452,25 @@ def pin_conflict(t):
     return rows.groupBy("url").agg(F.count("*").alias("versions")).where("versions > 1")
 
 
-@query("""SELECT source, CAST(count(*) AS BIGINT) AS n, sha256(string_agg(sha256(CAST(doc_id AS VARCHAR) || '|' || text), '' ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+@query("""WITH s AS (SELECT source, doc_id // 256 AS shard, count(*) AS n, sha256(string_agg(sha256(CAST(doc_id AS VARCHAR) || '|' || text), '' ORDER BY doc_id)) AS d FROM documents GROUP BY ALL)
+    SELECT source, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY shard)) AS digest FROM s GROUP BY 1""")
 def shard_digests(t):
+    """A digest for each shard of 256 ids, and for each source the digest of its shards' digests."""
     rows = t.documents.select("source", "doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.col("text")), 256).alias("h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda x: x["h"])
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.sha2(F.array_join(ordered, ""), 256).alias("digest"))
+    joined = lambda key, value: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ""), 256)
+    shards = rows.groupBy("source", F.expr("doc_id div 256").alias("shard")).agg(F.count("*").alias("n"), joined("doc_id", "h").alias("d"))
+    return shards.groupBy("source").agg(F.sum("n").alias("n"), joined("shard", "d").alias("digest"))
 
 
 @query("""SELECT l_returnflag, pmod, count(*) AS n FROM (SELECT l_returnflag, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1) % 8 AS pmod FROM lineitem) GROUP BY ALL""")
 def round_robin_shards(t):
-    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber")
-    return t.lineitem.select("l_returnflag", ((F.row_number().over(w) - 1) % 8).cast("long").alias("pmod")).groupBy("l_returnflag", "pmod").agg(F.count("*").alias("n"))
+    each = select.ranked(t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], [F.col("l_orderkey"), F.col("l_linenumber")], "rank")
+    return each.groupBy("l_returnflag", ((F.col("rank") - 1) % 8).cast("long").alias("pmod")).agg(F.count("*").alias("n"))
 
 
-@query("(SELECT l_suppkey AS k FROM lineitem EXCEPT SELECT s_suppkey FROM supplier) UNION ALL (SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem)")
+@query("(SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
 def set_equality_difference(t):
-    a, b = t.lineitem.select(F.col("l_suppkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k"))
+    a, b = t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))
     return a.subtract(b).union(b.subtract(a))
 
 

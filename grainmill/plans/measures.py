@@ -9,6 +9,7 @@ from grainmill.functions import scalar as fn
 from grainmill.functions import vector
 from grainmill.operators import area, joins, measure, select
 from grainmill.plans.catalog import _cents, query
+from grainmill.streaming import gauge
 
 # ---- aggregates
 
@@ -238,3 +239,8 @@ def room_footprints(t):
     WHERE contains(t, p) OR contains(c, q) OR contains(nfc_normalize(c), nfc_normalize(q)) GROUP BY ALL""")
 def citation_tiers(t):
     return joins.citation_tiers(t.documents, t.benchmark).groupBy("item_id", "tier").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events) SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY t RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM e""")
+def trailing_gauge(t):
+    return gauge.trailing_gauge(t.events.select("event_id", "event_type", "ts"), "ts", ["event_type"], 3600).select("event_id", "n")

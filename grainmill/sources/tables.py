@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grainmill.functions.jsons import duplicate_keys
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table; only the named columns are scanned."""
@@ -14,14 +16,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True) -> DataFrame:
-    """JSON lines of a closed schema. strict: malformed lines and lines with other keys than the schema's raise when they are read."""
+    """JSON lines of a closed schema. strict: malformed lines, lines with other keys than the schema's, keys repeated at any depth and
+    numbers that are not finite raise when they are read."""
     if not strict:
         return spark.read.schema(schema).json(path)
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     rows = spark.read.text(path).where("trim(value) <> ''")
     keys = F.json_object_keys("value")
-    same = F.array_sort(keys) == F.array(*(F.lit(n) for n in sorted(fields.fieldNames())))
-    checked = rows.select(F.when(same, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unexpected keys in: "), F.col("value")))).alias("value"))
+    faults = duplicate_keys(F.col("value"))
+    same = (F.array_sort(keys) == F.array(*(F.lit(n) for n in sorted(fields.fieldNames())))) & F.coalesce((faults[0] == 0) & (faults[1] == 0), F.lit(False))
+    checked = rows.select(F.when(same, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("unexpected keys or numbers in: "), F.col("value")))).alias("value"))
     return checked.select(F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -34,9 +38,11 @@ def read_csv_exact(spark: SparkSession, path: str, header: list[str]) -> DataFra
 
 
 def read_pinned(spark: SparkSession, path: str, pins: DataFrame) -> DataFrame:
-    """Files under path joined with pins(name, sha256, size); `ok` tells whether bytes and size agree. Pins without a file have ok = false."""
+    """Files under path joined with pins(name, sha256, size); `ok` tells whether bytes and size agree. A name is a path below the folder, so
+    files of one base name in several folders are told apart. Pins without a file have ok = false."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"), F.col("length").alias("found_size"))
+    below = F.substring_index("path", f"/{path.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    files = files.select(below.alias("name"), F.sha2("content", 256).alias("found"), F.col("length").alias("found_size"))
     return pins.join(files, "name", "left").withColumn("ok", F.coalesce((F.col("found") == F.col("sha256")) & (F.col("found_size") == F.col("size")), F.lit(False)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -18,23 +18,43 @@ def rate_gauge(events: DataFrame, ts: str, kind: str, width: str, slide: str, la
     return timed.groupBy(F.window("at", width, slide).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n")
 
 
-def burst_watchdog(events: DataFrame, ts: str, key: str, within_s: int, least: int, clear_s: int) -> DataFrame:
-    """Alarms (key, raised_at, n) of a stream: `least` events of a key within within_s seconds, and none again before clear_s quiet seconds."""
+def trailing_gauge(events: DataFrame, ts: str, keys: list[str], seconds: int = 60) -> DataFrame:
+    """events with n, how many of their keys' events lie in (t - seconds, t], themselves included, and that number a minute."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = Window.partitionBy(*keys).orderBy("_at").rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    return events.withColumn("_at", at).withColumn("n", F.count("*").over(w)).withColumn("per_minute", F.col("n") * 60.0 / seconds).drop("_at")
+
+
+def burst_watchdog(events: DataFrame, ts: str, key: str, within_s: int, least: int, clear_s: int, late: str = "1 hour") -> DataFrame:
+    """Alarms (key, raised_at, n) of a stream: `least` events of a key within (t - within_s, t], and after that none again until the key
+    has been quiet for clear_s seconds. Events wait until the watermark, `late` behind the newest event, has passed them, and are judged in
+    order of time, whatever batch brought them; later ones are dropped. Times keep their microseconds."""
+    within, clear = within_s * 1_000_000, clear_s * 1_000_000
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent, alarm = state.get if state.exists else ([], 0)
-        recent, out = list(recent), []
-        for t in sorted(int(x.timestamp()) for f in frames for x in f["at"]):
-            recent = [x for x in recent if x > t - within_s] + [t]
-            if len(recent) >= least and (not alarm or t - alarm >= clear_s):
-                out.append((group[0], pd.Timestamp(t, unit="s"), len(recent)))
-                alarm = t
-        state.update((recent, alarm))
+        waiting, recent, alarmed = state.get if state.exists else ([], [], False)
+        waiting, recent, out = list(waiting), list(recent), []
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting += [int(x) for x in frame["at"]]
+        passed = state.getCurrentWatermarkMs() * 1000
+        for t in sorted(x for x in waiting if x <= passed):
+            alarmed = alarmed and not (recent and t - recent[-1] >= clear)
+            recent = [x for x in recent if x > t - max(within, clear)] + [t]
+            n = sum(x > t - within for x in recent)
+            if n >= least and not alarmed:
+                out.append((group[0], pd.Timestamp(t, unit="us"), n))
+                alarmed = True
+        waiting = [x for x in waiting if x > passed]
+        state.update((waiting, recent, alarmed))
+        if waiting:
+            state.setTimeoutTimestamp(max(min(waiting) // 1000 + 1, passed // 1000 + 1))
         yield pd.DataFrame(out, columns=["key", "raised_at", "n"])
 
-    timed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("at")).withWatermark("at", "1 hour")
+    timed = events.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("time")).withWatermark("time", late).withColumn("at", F.unix_micros("time"))
     kind = timed.schema["key"].dataType.simpleString()
-    return timed.groupBy("key").applyInPandasWithState(step, f"key {kind}, raised_at timestamp, n long", "recent array<long>, alarm long", "append", GroupStateTimeout.NoTimeout)
+    schema, kept = f"key {kind}, raised_at timestamp, n long", "waiting array<long>, recent array<long>, alarmed boolean"
+    return timed.groupBy("key").applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def live_keys(beats: DataFrame, ts: str, key: str, timeout_s: int) -> DataFrame:
