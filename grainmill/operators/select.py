@@ -33,12 +33,12 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str, buc
     sizes = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = sizes.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(*order)))
+    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(*order)))
     same = F.col("_bucket").eqNullSafe(F.col("_b"))
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    told = inside.join(base, same).withColumn(name, F.col("_rank") + F.col("_before"))
-    return told.drop("_bucket", "_b", "_rank", "_before", *(f"_g{i}" for i in range(len(groups))))
+    told = inside.join(base, same).withColumn(name, F.col("_inside") + F.col("_before"))
+    return told.drop("_bucket", "_b", "_inside", "_before", *(f"_g{i}" for i in range(len(groups))))
 
 
 def balanced_topk(df: DataFrame, stratum: list[str], key: str, k: int, seed: str) -> DataFrame:

@@ -468,9 +468,9 @@ def round_robin_shards(t):
     return each.groupBy("l_returnflag", ((F.col("rank") - 1) % 8).cast("long").alias("pmod")).agg(F.count("*").alias("n"))
 
 
-@query("(SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer) UNION ALL (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)")
+@query("(SELECT user_id AS k FROM events EXCEPT SELECT c_custkey FROM customer) UNION ALL (SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM events)")
 def set_equality_difference(t):
-    a, b = t.orders.select(F.col("o_custkey").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))
+    a, b = t.events.select(F.col("user_id").alias("k")), t.customer.select(F.col("c_custkey").alias("k"))
     return a.subtract(b).union(b.subtract(a))
 
 
