@@ -197,12 +197,13 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
     whole = met.where("doc > first or at < 0").select("doc", tag.alias("tag"), pos.alias("lo"), (pos + size).alias("hi"))
     reps = met.where("doc = first and mixed and at >= 0")
     one = reps.groupBy("h", "s", "s2").agg(F.min(F.struct("doc", "at", "hot")).alias("x")).select("h", "s", "s2", "x.doc", "x.at", "x.hot")
-    wanted = one.withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "s", "s2", "doc", "at", "hot")).alias("cut"))
+    # each of these steps is stored, so that its shuffle files go before the next one writes its own
+    wanted = stash(one.withColumn("tag", tag).groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "s", "s2", "doc", "at", "hot")).alias("cut")), "cuts")
     pieces = map_arrow(rows.join(wanted, (F.col("doc_id") == F.col("doc")) & (rows["tag"] == wanted["tag"])).select("text", "cut"), _cut_segments(length), "g long, h long, s long, s2 long, o int, owner long, piece binary")
-    hits = map_arrow(pieces.repartition("g").sortWithinPartitions("g"), _find(length), "h long, s long, s2 long, lo long, hi long")
+    hits = stash(map_arrow(pieces.repartition("g").sortWithinPartitions("g"), _find(length), "h long, s long, s2 long, lo long, hi long"), "hits")
     part = reps.select("h", "s", "s2", "doc", tag.alias("tag"), pos.alias("pos")).join(hits, ["h", "s", "s2"]).select("doc", "tag", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
     out = stash(whole.unionByName(part).groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-    release(spark, met)
+    release(spark, met, wanted, hits)
     return out
 
 
