@@ -126,6 +126,13 @@ def canonical_scene(dataset: Column, scene: Column) -> Column:
     return F.regexp_replace(plain, r"_\d{2}$", "")
 
 
+def scene_group(dataset: Column, scene: Column, blocking: bool) -> Column:
+    """dataset/scene of one physical place. For splits only scannet's scenes lose the two digits of their visit; for blocking all lose any number."""
+    name = F.when(dataset.rlike("^scannetpp"), "scannetpp").otherwise(dataset)
+    place = F.regexp_replace(scene, r"_\d+$", "") if blocking else F.when(dataset == "scannet", F.regexp_replace(scene, r"_\d{2}$", "")).otherwise(scene)
+    return F.concat(name, F.lit("/"), place)
+
+
 def zoned_time(text: Column) -> Column:
     """The instant of an ISO text with a time zone; null without one."""
     return F.when(text.rlike(r"T.*(?:Z|[+-]\d{2}:?\d{2})$"), text.try_cast("timestamp"))
