@@ -29,11 +29,24 @@ def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str, buc
         ends = df.agg(F.min(order[0]).cast("double").alias("_lo"), F.max(order[0]).cast("double").alias("_hi"))  # one row
         df = df.crossJoin(F.broadcast(ends))
         bucket = F.floor((order[0].cast("double") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * 1023)
-    rows = df.withColumn("_bucket", bucket).drop("_lo", "_hi")
-    sizes = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_n"))
+    return _running(df.withColumn("_bucket", bucket).drop("_lo", "_hi"), groups, order, F.lit(1), name)
+
+
+def running_sum(df: DataFrame, groups: list[str], order: str, weight: str, name: str) -> DataFrame:
+    """Sum of the weights up to each row in its group, by a numeric column, without a task that has to hold a group."""
+    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))  # one row
+    bucket = F.floor((F.col(order).cast("double") - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0) * 1023)
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_bucket", bucket).drop("_lo", "_hi")
+    return _running(rows, groups, [F.col(order)], F.col(weight), name)
+
+
+def _running(rows: DataFrame, groups: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """rows(_bucket): sums within buckets, and the buckets' sums, a small table, for what comes before."""
+    sizes = rows.groupBy(*groups, "_bucket").agg(F.sum(weight).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     base = sizes.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = rows.withColumn("_inside", F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy(*order)))
+    upto = Window.partitionBy(*groups, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("_inside", F.sum(weight).over(upto))
     same = F.col("_bucket").eqNullSafe(F.col("_b"))
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))

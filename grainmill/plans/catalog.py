@@ -212,12 +212,12 @@ def seed_summary(t):
     FROM (SELECT lang, len(string_split(text, ' ')) AS w FROM documents) GROUP BY 1""")
 def token_length_distribution(t):
     rows = t.documents.select("lang", F.size(F.split("text", " ")).cast("long").alias("w"))
-    return score.distribution(rows, "lang", F.col("w"))
+    return score.distribution(rows, "lang", "w")
 
 
 @query("SELECT lang, quantile_disc(n_chars, 0.95) AS p95 FROM documents GROUP BY 1")
 def nearest_rank_p95(t):
-    return t.documents.groupBy("lang").agg(F.expr("percentile_disc(0.95) within group (order by n_chars)").cast("long").alias("p95"))
+    return score.quantiles(t.documents, ["lang"], "n_chars", {"p95": 0.95}, nearest=True).drop("n")
 
 
 @query("""WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem GROUP BY 1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions import scalar as fn
 from grainmill.functions import vector
-from grainmill.operators import area, joins, measure, select
+from grainmill.operators import area, joins, measure, score, select
 from grainmill.plans.catalog import _cents, query
 from grainmill.streaming import gauge
 
@@ -69,8 +69,9 @@ def correspondence(t):
 @query("""SELECT split_part(o_orderpriority, '-', 1) AS reason, o_orderstatus, count(*) AS n, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95,
     max(o_totalprice) AS most FROM orders GROUP BY ALL""")
 def refusal_summary(t):
-    p50, p95 = (F.round(F.percentile("o_totalprice", q), 4) for q in (0.5, 0.95))
-    return t.orders.groupBy(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("reason"), "o_orderstatus").agg(F.count("*").alias("n"), p50.alias("p50"), p95.alias("p95"), F.max("o_totalprice").alias("most"))
+    rows = t.orders.select(F.split_part("o_orderpriority", F.lit("-"), F.lit(1)).alias("reason"), "o_orderstatus", "o_totalprice")
+    q = score.quantiles(rows, ["reason", "o_orderstatus"], "o_totalprice", {"p50": 0.5, "p95": 0.95, "most": 1.0})
+    return q.withColumns({"p50": F.round("p50", 4), "p95": F.round("p95", 4)})
 
 
 @query("""SELECT start, count(*) AS n, count(DISTINCT user_id) AS n_users FROM (SELECT user_id, unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events WHERE event_type = 'purchase')
