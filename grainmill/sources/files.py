@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainmill.operators import select
 
@@ -155,7 +156,7 @@ def packed(df: DataFrame, order: str, size: str, most_bytes: int, most_rows: int
         frame["archive"] = [f"{r:06d}-{a:06d}" for r, a in zip(frame["_range"], out, strict=True)]
         return frame.drop(columns=["_rank", "_range"])
 
-    schema = df.schema.add("archive", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("archive", T.StringType())])
     return ranked.groupBy("_range").applyInPandas(fill, schema)
 
 
