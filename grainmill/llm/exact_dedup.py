@@ -213,8 +213,9 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32,
     groups = stash(index.where("hit").drop("hit"), "groups")
     # hits: the bytes of each row of a group against those of the row that stays
     texts = with_text(rows.select("digest", "doc_id", "text"))
-    stays = texts.join(bounded(groups), "digest").where("doc_id <=> keep_id").groupBy("digest", "n").agg(F.min("text").alias("stays"))
-    differ = join_by_size(texts.select("digest", "text"), stash(stays, "stays"), ["digest"], "n")
+    members = texts.join(bounded(groups), "digest")
+    stays = members.where("doc_id <=> keep_id").groupBy("digest", "n").agg(F.min("text").alias("stays"))
+    differ = join_by_size(members.select("digest", "text"), stash(stays, "stays"), ["digest"], "n")
     differ = stash(differ.where("text <> stays").select("digest").distinct(), "collisions")
     mixed = not differ.isEmpty()
     out = join_by_size(rows, index.drop("hit"), ["digest"], "n", "left")

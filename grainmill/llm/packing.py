@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterable
@@ -85,18 +84,21 @@ def merges_are_ranks(path: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _unsettled():
-    """Characters that libraries of different Unicode versions may count as letters, numbers or white space differently: those that came to
-    or left these classes since version 3.2, and those not assigned yet."""
-    old, runs = unicodedata.ucd_3_2_0.category, []
+def _unsettled() -> np.ndarray:
+    """Flags of the characters that libraries of different Unicode versions may count as letters, numbers or white space differently: those
+    that came to or left these classes since version 3.2, and those not assigned yet."""
+    old, out = unicodedata.ucd_3_2_0.category, np.zeros(0x110000, bool)
     for c in range(0x110000):
-        now = unicodedata.category(chr(c))
-        if now == "Cn" or (now[0] in "LN" and now[0] != old(chr(c))[0]) or (now[0] not in "LN" and old(chr(c))[0] in "LN") or c in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B):
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+        now, then = unicodedata.category(chr(c)), old(chr(c))[0]
+        out[c] = now == "Cn" or (now[0] in "LN" and now[0] != then) or (now[0] not in "LN" and then in "LN")
+    out[[0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B]] = True
+    return out
+
+
+def _has_unsettled(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return bool(_unsettled()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
 
 
 @lru_cache(maxsize=2)
@@ -115,10 +117,10 @@ def vocabulary(path: str, quick: bool):
         return slow
     ranks = _ranks({"vocab": t.get_vocab(with_added_tokens=False)}, {x.content for x in t.get_added_tokens_decoder().values()})
     encoding = tiktoken.Encoding("vocabulary", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-    fast, unsettled = text_encoder(encoding, lambda chunk: slow([chunk])[0]), _unsettled()
+    fast = text_encoder(encoding, lambda chunk: slow([chunk])[0])
 
     def ids(texts: list[str]) -> list[list[int]]:
-        odd = [i for i, x in enumerate(texts) if not x.isascii() and unsettled.search(x)]
+        odd = [i for i, x in enumerate(texts) if _has_unsettled(x)] if _has_unsettled("\n".join(texts)) else []
         if not odd:
             return fast(texts)
         out, left = fast(["" if i in set(odd) else x for i, x in enumerate(texts)]), slow([texts[i] for i in odd])
