@@ -105,7 +105,7 @@ def table_digest(df: DataFrame, *order: str) -> DataFrame:
 def markdown_rows(lines: Column) -> Column:
     """Cells of the rows of a markdown table, without its header and rule."""
     rows = F.filter(lines, lambda x: x.rlike(r"^\s*\|.*\|\s*$"))
-    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\s*\|\s*|\s*\|\s*$", ""), r"\s*\|\s*"), F.trim)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\s*\|\s*|\s*\|\s*$", ""), r"\s*\|\s*"), lambda c: F.trim(c))  # noqa: E731  F.trim alone would get the index as the characters to trim
     return F.when(F.size(rows) > 2, F.transform(F.slice(rows, 3, F.size(rows)), cells)).otherwise(F.array().cast("array<array<string>>"))
 
 

@@ -261,13 +261,23 @@ def redecision(t):
     return a.join(b, "event_id").groupBy("stored", "again").agg(F.count("*").alias("n"))
 
 
+#: Tables that the printed counts are dealt into.
+_LEAVES = 4096
+
+
 @query("""WITH c AS (SELECT c_mktsegment AS s, count(*) AS n, CAST(round(sum(c_acctbal)) AS BIGINT) AS total FROM customer GROUP BY 1) SELECT s, n = stated AS n_ok, 1 AS found FROM (SELECT s, n, CASE WHEN s = 'BUILDING' THEN n + 1 ELSE n END AS stated FROM c)""")
 def document_check(t):
+    s = F.col("s")
     counts = t.customer.groupBy(F.col("c_mktsegment").alias("s")).agg(F.count("*").alias("n"))
-    line = F.concat(F.lit("| "), "s", F.lit(" | "), F.when(F.col("s") == "BUILDING", F.col("n") + 1).otherwise(F.col("n")).cast("string"), F.lit(" |"))
-    page = counts.agg(F.concat(F.array(F.lit("Counts:"), F.lit("| segment | n |"), F.lit("| --- | ---: |")), F.array_sort(F.collect_list(line))).alias("lines"))  # a printed table
-    cells = page.select(F.explode(rc.markdown_rows(F.col("lines"))).alias("c")).select(F.col("c")[0].alias("s"), F.col("c")[1].try_cast("long").alias("stated"))
-    return counts.join(cells, "s", "left").select("s", (F.col("n") == F.col("stated")).alias("n_ok"), F.col("stated").isNotNull().cast("int").alias("found"))
+    # cells are printed with marks and spaces encoded, so that any text is read back as it was; brackets never stand in an encoded text
+    cell = F.coalesce(F.url_encode(s), F.lit("(none)"))
+    line = F.concat(F.lit("| "), cell, F.lit(" | "), F.when(s == "BUILDING", F.col("n") + 1).otherwise(F.col("n")).cast("string"), F.lit(" |"))
+    leaf = F.pmod(F.xxhash64("s"), F.lit(_LEAVES))  # one table a leaf, so that no row holds all segments
+    head = F.array(F.lit("Counts:"), F.lit("| segment | n |"), F.lit("| --- | ---: |"))
+    page = counts.groupBy(leaf.alias("leaf")).agg(F.concat(head, F.array_sort(F.collect_list(line))).alias("lines"))  # a printed table
+    cells = page.select(F.explode(rc.markdown_rows(F.col("lines"))).alias("c")).select(F.when(F.col("c")[0] != "(none)", F.url_decode(F.col("c")[0])).alias("p"), F.col("c")[1].try_cast("long").alias("stated"))
+    joined = counts.join(cells, s.eqNullSafe(F.col("p")), "left")
+    return joined.select("s", (F.col("n") == F.col("stated")).alias("n_ok"), F.col("stated").isNotNull().cast("int").alias("found"))
 
 
 @query("""SELECT a.o_orderkey AS k, CASE WHEN a.o_clerk IS NOT DISTINCT FROM b.o_clerk THEN 'paired' WHEN a.o_orderdate > b.o_orderdate THEN 'newer' ELSE 'refused' END AS rule FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1""".replace("a.o_clerk IS NOT DISTINCT FROM b.o_clerk", "a.o_custkey = b.o_custkey"))

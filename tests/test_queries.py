@@ -101,3 +101,12 @@ def test_point_triangle_distance_by_sampling(spark):
         p, a, b, c = r.reshape(4, 3)
         near = ((a + u[:, None] * (b - a) + v[:, None] * (c - a) - p) ** 2).sum(1).min()
         assert got[i] <= near + 1e-9 and abs(got[i] ** 0.5 - near**0.5) < 0.02
+
+
+def test_document_check_reads_any_segment_and_count(spark, tmp_path):
+    segments = {"BUILDING": 11, "AUTOMOBILE": 1, "a|b": 10, " pad ": 2, "": 3, "two\nlines": 1, "(none)": 4, "0x0": 12, None: 2}
+    spark.createDataFrame([(s, 1.5) for s, n in segments.items() for _ in range(n)], "c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.s: (r.n_ok, r.found) for r in registry.QUERIES["document_check"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == {s: (ok, found) for s, ok, found in con.execute(registry.ORACLE_SQL["document_check"]).fetchall()}
