@@ -1,11 +1,13 @@
 """Suffix-array dedup of substrings over a whole corpus, sharded by content.
 
 Every window of `length` bytes goes to the shard named by its smallest GRAM-byte hash, so equal windows meet wherever they are.
-Consecutive windows with the same name form a segment (at most RUN windows). Segments are compared by 128-bit digests of their bytes: of
+Consecutive windows with the same name form a segment (at most RUN windows). Segments are compared by digests of their bytes (64 and 32 bits,
+besides the 48 of the name and the 32 of the hashes beside the gram): of
 equal ones all but those of the smallest document are removed as a whole, most of them already in the task that reads them, so that a
 passage that very many documents have leaves few rows. Segments that occur in one document only, which are nearly all, are dropped by one
-window aggregate; groups that hold different segments go, one copy of each, through a Burrows-Wheeler transform (bwt.py) that finds their
-common windows. A group of more rows than HOT_ROWS is dealt out by the windows' own hashes. Only bytes of such segments and spans of
+window aggregate. A common window has the naming gram at one place, and half of its other bytes before or after it; segments of a group that
+agree with no other one in these bytes (by 16-bit hashes, which only ever keep too many) are dropped too. What is left of groups that hold
+different segments goes, one copy of each, through a Burrows-Wheeler transform (bwt.py) that finds their common windows. A group of more rows than HOT_ROWS is dealt out by the windows' own hashes. Only bytes of such segments and spans of
 removed bytes are ever shuffled beside the texts, which are joined by document twice.
 """
 
@@ -24,17 +26,18 @@ from grainmill.llm.wordhash import BASE, OTHER_VALUES, VALUES, mix, prefix, span
 
 LENGTH, GRAM, RUN, HOT_ROWS = 50, 16, 64, 50_000
 BLOCK, SHARD_BYTES, TAGS = 1 << 15, 1 << 17, 1 << 23
+PLACE = np.uint64(16)  # bits of a place in a block
 
 
 def names(data: np.ndarray, length: int) -> np.ndarray:
-    """For every window of `length` bytes the smallest hash of the grams in it."""
+    """For every window of `length` bytes the smallest hash of the grams in it (48 bits) and the first place that has it (16 bits)."""
     gram = min(GRAM, length)
     h, have = VALUES[data], 1
     while have < gram:  # hash of have + step bytes from two overlapping or touching ones
         step = min(have, gram - have)
         h = mix(h[: len(h) - step] * BASE + h[step:]) if step < have else h[: len(h) - step] * (BASE + np.uint64(2 * have)) + h[step:]
         have += step
-    h = mix(h)
+    h = mix(h) >> PLACE << PLACE | np.arange(len(h), dtype=np.uint64)
     wide, have = length - gram + 1, 1
     while have < wide:
         step = min(have, wide - have)
@@ -43,13 +46,30 @@ def names(data: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
+def _sides(h: np.ndarray, sums: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
+    """For the segments of the windows lo .. hi-1 two 16-bit hashes, of the bytes before and after the gram that names them, such that
+    segments with a common window agree in one of them. 0 where no window has so many bytes there; both 0 where the windows of a segment have
+    the gram at several places."""
+    gram = min(GRAM, length)
+    before = (length - gram + 1) // 2
+    after = length - gram + 1 - before
+    at = (h[lo] & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    out = np.zeros((2, len(lo)), np.uint64)
+    one = h[lo] == h[hi - 1]
+    for side, ok, start, end in ((0, at - lo >= before, at - before, at), (1, hi - 1 > at - before, at + gram, at + gram + after)):
+        ok = ok & one
+        out[side, ok] = np.maximum(spans(sums, start[ok], end[ok]) >> np.uint64(48), 1)
+    return out[0] << PLACE | out[1]
+
+
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(name, two content hashes, position, bytes) of the segments of one text; each window belongs to one segment."""
+    """(name, content hash, _sides and another content hash, position, bytes) of the segments of one text; each window belongs to one segment."""
     out = []
     for at in range(0, len(data) - length + 1, BLOCK):
         part = data[at : at + BLOCK + length - 1]
         h = names(part, length)
-        turn = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+        name = h >> PLACE
+        turn = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1, [len(h)]])
         size = np.diff(turn)
         if size.max() > RUN:  # long runs of one name are cut; the windows stay the same
             n = -(-size // RUN)
@@ -59,7 +79,9 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
         else:
             lo, hi = turn[:-1], turn[1:]
         end = hi + length - 1
-        out.append((h[lo].view(np.int64), *(spans(prefix(part, v), lo, end).view(np.int64) for v in (VALUES, OTHER_VALUES)), lo + at, end - lo))
+        sums = prefix(part, VALUES)
+        other = spans(prefix(part, OTHER_VALUES), lo, end) >> np.uint64(32) | _sides(h, sums, lo, hi, length) << np.uint64(32)
+        out.append((name[lo].view(np.int64), spans(sums, lo, end).view(np.int64), other.view(np.int64), lo + at, end - lo))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -183,13 +205,18 @@ def removed_spans(keyed: DataFrame, length: int = LENGTH, hot_rows: int = HOT_RO
     spark = keyed.sparkSession
     rows = keyed.where("doc_id is not null")
     found = map_arrow(rows.select("doc_id", "tag", "text"), _segment_rows(length), "h long, s long, s2 long, doc long, at long")
-    group, content = Window.partitionBy("h"), Window.partitionBy("h", "s", "s2")
+    group, content = Window.partitionBy("h"), Window.partitionBy("h", "l", "s", "s2")
+    apart = lambda k: (F.col(k) != 0) & (F.min("first").over(Window.partitionBy("h", k)) < F.max("first").over(Window.partitionBy("h", k)))
     met = (
-        found.repartition("h").sortWithinPartitions("h", "s", "s2")  # one sort for both windows
-        .withColumns({"least": F.min("doc").over(group), "most": F.max("doc").over(group), "mixed": F.min("s").over(group) < F.max("s").over(group), "hot": F.count("*").over(group) > hot_rows})
+        found.repartition("h").withColumns({"l": F.shiftrightunsigned("s2", 48), "r": F.shiftrightunsigned("s2", 32).bitwiseAND(0xFFFF)})
+        .sortWithinPartitions("h", "l", "s", "s2")  # one sort for all windows but the last
+        .withColumns({"least": F.min("doc").over(group), "most": F.max("doc").over(group), "mixed": F.min("s").over(group) < F.max("s").over(group), "hot": F.count("*").over(group) > hot_rows, "any": F.max((F.col("l") == 0) & (F.col("r") == 0)).over(group)})
         .where("least < most or at < 0")
         .withColumn("first", F.min("doc").over(content))
         .where("mixed or doc > first or at < 0")
+        .withColumn("by_l", apart("l"))
+        .withColumn("mixed", F.col("mixed") & (F.col("any") | F.col("by_l") | apart("r")))
+        .where("mixed or doc > first or at < 0")
         .select("h", "s", "s2", "doc", "at", "first", "mixed", "hot")
     )
     met = stash(met, "segments")
