@@ -366,10 +366,10 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     nodes = stash(classes.select("sig", "rep", "copies", "x.n", "x.head", "x.parts"), "nodes")
 
     # lists of an n-gram with several members; those of more than CELL are few and are gathered without a shuffle by the n-gram
-    heads = nodes.select("sig", "rep", "n", F.posexplode("head").alias("pos", "h"))
+    heads = nodes.select("sig", F.posexplode("head").alias("pos", "h"))  # this is the largest shuffle: rep and n come with the join below
     met = stash(heads.groupBy("h").agg(F.count("*").alias("size")).where("size > 1"), "met")
     entries = stash(join_by_size(heads, met, ["h"], "size", hot_rows=CELL), "entries")
-    lists = entries.join(nodes.select("sig", "head", "parts"), "sig").select("h", "size", "rep", "n", "pos", "head", "parts")
+    lists = entries.join(nodes.select("sig", "rep", "n", "head", "parts"), "sig").select("h", "size", "rep", "n", "pos", "head", "parts")
     lists = stash(map_arrow(lists, _suffixes, "h long, size long, rep long, n int, pos int, suffix binary"), "lists")
     release(spark, met, entries)
 

@@ -37,3 +37,16 @@ def test_every_link_is_found(docs, monkeypatch, cell):  # noqa: F811
     assert listed(jaccard_join.near_join(docs), "doc_id", "n_links") == counts
     if cell == 3:
         assert listed(jaccard_join.near_links(docs), "a", "b") == pairs
+
+
+def test_prefixes_travel_without_what_their_set_knows(spark, monkeypatch):
+    columns, real = {}, jaccard_join.stash
+
+    def seen(df, name):
+        columns[name] = set(df.columns)
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stash", seen)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 2}") for i in range(6)], "doc_id long, text string")
+    assert jaccard_join.near_components(docs).count() == 6
+    assert columns["entries"] == {"h", "sig", "pos", "size"}
