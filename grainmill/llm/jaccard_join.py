@@ -7,8 +7,10 @@ differences of these counts are the fewest elements by which the suffixes can di
 
 Groups of copies never give all their pairs. Documents with the same set are one node. First every node is looked at in its longest list
 only, and of the pairs of a block of CELL members those of a spanning forest, nearest first, are verified; blocks of longer lists are
-dealt anew for a second time. After that only lists whose members are not all connected are looked at, and in them pairs of different components. No connection is lost: two documents that link are in one list, and are either
-connected or paired there.
+dealt anew for a second time. After that only lists whose members are not all connected are looked at, and in them pairs of different
+components: first those of one spanning forest of the components, then of eight, then all. A list is done with when it is connected or
+each of its pairs has been verified, so no connection is lost: two documents that link are in one list, and are either connected or paired
+there. Lists of one component are looked at together, so that a pair is named once and not by every list it is in.
 
 Links lie within components, so they are counted there: each pair of different sets of a component is compared on whole sets,
 components of more than LINK_CELL sets as pairs of blocks. Copies count by the size of their class and are not paired.
@@ -30,6 +32,8 @@ from grainmill.llm.common import bounded, components, join_by_size, map_arrow, r
 from grainmill.llm.wordhash import LOWER, OTHER_VALUES, VALUES, mix, word_values, words
 
 WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL, FAN = 4, 85, 18, 64, 2_000, 2, 1_000, 64
+#: How many spanning forests the rounds across components verify; a last round verifies what is left.
+FORESTS = (1, 8)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 PLACES = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xDB4F0B9175AE2165, 0xBBE0563303A4615F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
@@ -197,9 +201,10 @@ def forest(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
         label = up[label]
 
 
-def _pairs(percent: int, spanning: bool, one_list: bool):
-    """Rows (h, cell, side, rep, n, pos, label, suffix) sorted by list and cell -> (a, b): pairs of different labels that pass all filters;
-    if spanning, only a spanning forest of them, nearest first. one_list: rows are there in one of their lists only."""
+def _pairs(percent: int, forests: int | None, one_list: bool):
+    """Rows (h, cell, side, rep, n, pos, label, suffix), each cell of a list in one run -> (a, b, None): pairs of different labels that pass
+    all filters; if forests is not None, only those of so many spanning forests of the labels, nearest first, over the cells looked at
+    together. Lists with a pair that was left out follow as (None, None, h). one_list: rows are there in one of their lists only."""
 
     def found(cols: list[np.ndarray]) -> pa.RecordBatch:
         h, cell, side, rep, n, pos, label, suffix = cols
@@ -223,17 +228,24 @@ def _pairs(percent: int, spanning: bool, one_list: bool):
             ok = apart <= n[x] + n[y] - 2 * need
             if ok.any():
                 out.append((x[ok], y[ok], apart[ok]))
-        x, y, apart = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-        if spanning and len(x):
-            # cells are independent: the label counts within its cell
-            turn = np.concatenate([[True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])
-            inside = np.unique(np.stack([np.cumsum(turn), label]), axis=1, return_inverse=True)[1].ravel()
-            kept = forest(inside[x], inside[y], apart)
-            x, y = x[kept], y[kept]
-        a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
-        if len(a):
-            a, b = np.unique(np.stack([a, b]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if not out:
+            return pa.RecordBatch.from_arrays([pa.nulls(0, pa.int64())] * 3, ["a", "b", "h"])
+        x, y, apart = (np.concatenate(c) for c in zip(*out, strict=True))
+        pairs, at, of = np.unique(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])]), axis=1, return_index=True, return_inverse=True)
+        kept = np.full(len(at), forests is None)
+        if forests:
+            far = np.full(len(at), np.iinfo(np.int64).max)
+            np.minimum.at(far, of.ravel(), apart)
+            for _ in range(forests):
+                rest = np.flatnonzero(~kept)
+                if not len(rest):
+                    break
+                kept[rest[forest(label[x[at[rest]]], label[y[at[rest]]], far[rest])]] = True
+        left = np.unique(h[x[~kept[of.ravel()]]])
+        a, b = pairs[:, kept]
+        none = lambda k: pa.nulls(k, pa.int64())
+        columns = [pa.chunked_array([pa.array(a), none(len(left))]), pa.chunked_array([pa.array(b), none(len(left))]), pa.chunked_array([none(len(a)), pa.array(left)])]
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], ["a", "b", "h"])
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -336,21 +348,34 @@ def _in_cells(df: DataFrame, most: int, key: str, *columns: str) -> DataFrame:
 
 
 def _across(labelled: DataFrame, columns: list[str]) -> DataFrame:
-    """labelled(size, columns) -> columns, cell, side. A list of up to CELL members is one cell. In a larger one the members of its most
-    frequent label are dealt into blocks, and those of other labels meet every block, and each other in pairs of blocks."""
-    small = labelled.where(F.col("size") <= CELL).select(*columns, F.lit(0).cast("long").alias("cell"), F.lit(-1).alias("side"))
+    """labelled(size, place, columns) -> columns, cell, side, place. A list of up to CELL members is one cell. In a larger one the members of its
+    most frequent label are dealt into blocks, and those of other labels meet every block, and each other in pairs of blocks; each of these
+    cells is a place of its own."""
+    small = labelled.where(F.col("size") <= CELL).select(*columns, F.lit(0).cast("long").alias("cell"), F.lit(-1).alias("side"), "place")
     large = labelled.where(F.col("size") > CELL)
     if large.isEmpty():
         return small
     each = large.groupBy("h", "label").agg(F.count("*").alias("m"))
     top = stash(each.groupBy("h").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.max("m").alias("m"), F.sum("m").alias("all")), "top")
-    large = large.drop("size").join(bounded(top), "h").withColumn("blocks", F.ceil(F.col("m") / CELL))
+    large = large.drop("size", "place").join(bounded(top), "h").withColumn("blocks", F.ceil(F.col("m") / CELL))
     first = F.col("label") == F.col("top")
     of_top = large.where(first).select(*columns, F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("cell"), F.lit(0).alias("side"))
     others = large.where(~first).withColumn("size", F.col("all") - F.col("m"))
     beside = others.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("cell"), F.lit(1).alias("side"))
     among = _in_cells(others, CELL, "rep", *columns).select(*columns, (-1 - F.col("cell").cast("long")).alias("cell"), F.col("side").cast("int").alias("side"))
-    return small.unionByName(of_top).unionByName(beside).unionByName(among)
+    return small.unionByName(of_top.unionByName(beside).unionByName(among).withColumn("place", F.xxhash64("h", "cell")))
+
+
+def _open_lists(told: DataFrame) -> DataFrame:
+    """Of told(h, label, ...) the lists with several labels, with `place`: lists that share their smallest label are looked at together, but
+    those of a label with more than 2 * CELL rows are dealt into places of about as many."""
+    several = stash(told.groupBy("h").agg(F.min("label").alias("g"), F.max("label").alias("y"), F.count("*").alias("m")).where("g < y").select("h", "g", "m"), "open")
+    wide = stash(several.groupBy("g").agg(F.ceil(F.sum("m") / (2 * CELL)).alias("parts")).where("parts > 1"), "wide")
+    part = F.pmod(F.xxhash64("h"), F.coalesce("parts", F.lit(1)))
+    placed = several.join(bounded(wide), "g", "left").select("h", F.xxhash64("g", part).alias("place"))
+    out = stash(told.join(bounded(placed, several), "h"), "open-lists")
+    release(told.sparkSession, several, wide)
+    return out
 
 
 def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -373,27 +398,39 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     lists = stash(map_arrow(lists, _suffixes, "h long, size long, rep long, n int, pos int, suffix binary"), "lists")
     release(spark, met, entries)
 
-    columns, links, tried, k = ["h", "rep", "n", "pos", "label", "suffix"], None, None, 0
+    columns = ["h", "rep", "n", "pos", "label", "suffix"]
+
+    def looked_at(placed: DataFrame, forests: int | None, one_list: bool) -> DataFrame:
+        placed = placed.select("h", "cell", "side", "rep", "n", "pos", "label", "suffix", "place").repartition("place").sortWithinPartitions("place", "h", "cell", "n", "rep")
+        return stash(map_arrow(placed.drop("place"), _pairs(percent, forests, one_list), "a long, b long, h long"), "pairs")
+
+    def in_blocks(labelled: DataFrame, k: int) -> DataFrame:  # by another hash every round, compared within
+        block = F.pmod(F.xxhash64("rep", F.lit(k)), F.ceil(F.col("size") / CELL)).cast("long")
+        return labelled.withColumns({"cell": block, "side": F.lit(-1)}).withColumn("place", F.xxhash64("h", "cell"))
+
     longest = lists.groupBy("rep").agg(F.max(F.struct("size", "h", "n", "pos", "suffix")).alias("x")).select("rep", "x.*")
-    labelled = longest.withColumn("label", F.col("rep"))
+    seen = looked_at(in_blocks(longest.withColumn("label", F.col("rep")), 0), 1, True)
+    links, tried = verified(docs, seen.where("a is not null"), None, n, percent)
+    k, turns = 1, list(FORESTS) + [None]
     while True:
-        spanning = labelled is not None
-        if spanning:  # blocks by another hash every round, compared within
-            block = F.pmod(F.xxhash64("rep", F.lit(k)), F.ceil(F.col("size") / CELL)).cast("long")
-            placed = labelled.withColumns({"cell": block, "side": F.lit(-1)})
-        else:
-            placed = _across(open_lists, columns)
-        placed = placed.select("h", "cell", "side", "rep", "n", "pos", "label", "suffix").repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "rep")
-        new, tried = verified(docs, map_arrow(placed, _pairs(percent, spanning, k == 0), "a long, b long"), tried, n, percent)
-        links = new if links is None else stash(links.union(new).distinct(), "links")
-        if not spanning:
-            break
         joined = components(links)
-        told = lists.join(bounded(joined.select(F.col("node").alias("rep"), "root"), joined), "rep", "left").withColumn("label", F.coalesce("root", "rep"))
-        several = stash(told.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h"), "open")
-        open_lists = stash(told.drop("root").join(bounded(several), "h", "left_semi"), "open-lists")
+        told = lists.join(bounded(joined.select(F.col("node").alias("rep"), "root"), joined), "rep", "left").withColumn("label", F.coalesce("root", "rep")).drop("root")
+        open_lists = _open_lists(told)
+        blocks = k < ROUNDS and not open_lists.where(F.col("size") > CELL).isEmpty()
         k += 1
-        labelled = open_lists if k < ROUNDS and not open_lists.where(F.col("size") > CELL).isEmpty() else None
+        forests = 1 if blocks else turns.pop(0)
+        seen = looked_at(in_blocks(open_lists, k - 1) if blocks else _across(open_lists, columns), forests, False)
+        release(spark, open_lists)
+        new, tried = verified(docs, seen.where("a is not null"), tried, n, percent)
+        links = stash(links.union(new).distinct(), "links")
+        if blocks:  # members of different blocks have not met
+            continue
+        left = stash(seen.where("h is not null").select("h").distinct(), "left")
+        if forests is None or left.isEmpty():
+            break
+        fewer = stash(lists.join(bounded(left), "h", "left_semi"), "lists")
+        release(spark, lists)
+        lists = fewer
     same_id = nodes.select("sig", "rep")  # rows of one id with several sets are tied below
     ties = sets.where("n > 0 and doc_id is not null").join(same_id, "sig").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     twice = sets.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct("sig").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
