@@ -386,9 +386,11 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     count = np.zeros(1 << BUCKET_BITS, np.int64)
     count[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
     order = spark.sparkContext.broadcast(count)
-    sets = stash(map_arrow(rows, _prefixes(n, percent, order), "doc_id long, n int, sig binary, head array<long>, parts binary"), "sets")
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "head", "parts"), "doc_id").alias("x"))
+    whole = stash(map_arrow(rows, _prefixes(n, percent, order), "doc_id long, n int, sig binary, head array<long>, parts binary"), "sets")
+    classes = whole.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by(F.struct("n", "head", "parts"), "doc_id").alias("x"))
     nodes = stash(classes.select("sig", "rep", "copies", "x.n", "x.head", "x.parts"), "nodes")
+    sets = stash(whole.select("doc_id", "n", "sig"), "sets")  # heads and parts are on disk once, and only until the lists are made
+    release(spark, whole)
 
     # lists of an n-gram with several members; those of more than CELL are few and are gathered without a shuffle by the n-gram
     heads = nodes.select("sig", F.posexplode("head").alias("pos", "h"))  # this is the largest shuffle: rep and n come with the join below
@@ -396,7 +398,9 @@ def _join(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame,
     entries = stash(join_by_size(heads, met, ["h"], "size", hot_rows=CELL), "entries")
     lists = entries.join(nodes.select("sig", "rep", "n", "head", "parts"), "sig").select("h", "size", "rep", "n", "pos", "head", "parts")
     lists = stash(map_arrow(lists, _suffixes, "h long, size long, rep long, n int, pos int, suffix binary"), "lists")
-    release(spark, met, entries)
+    named = stash(nodes.select("sig", "rep", "copies"), "nodes")
+    release(spark, met, entries, nodes)
+    nodes = named
 
     columns = ["h", "rep", "n", "pos", "label", "suffix"]
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from grainmill.llm import jaccard_join
+from grainmill.llm import common, jaccard_join
 
 
 @pytest.mark.parametrize("copies", [96, 192])
@@ -21,3 +21,16 @@ def test_pairs_of_components_grow_with_the_members(spark, monkeypatch, copies):
     docs = spark.createDataFrame([(k, f"{base} x{k}") for k in range(copies)], "doc_id long, text string")
     assert {tuple(r) for r in jaccard_join.near_components(docs).collect()} == {(k, 58, 0) for k in range(copies)}
     assert copies - 1 <= asked[-1] <= 10 * copies
+
+
+def test_prefixes_are_on_disk_once_and_not_after_the_lists(spark, monkeypatch):
+    heads, real, mark = {}, jaccard_join.stash, common.written()
+
+    def seen(df, name):
+        heads[name] = sum("head" in spark.read.parquet(path).columns for path in common._written[mark:])
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stash", seen)
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 2}") for i in range(6)], "doc_id long, text string")
+    assert jaccard_join.near_components(docs).count() == 6
+    assert heads["entries"] == 1 and heads["candidates"] == 0
