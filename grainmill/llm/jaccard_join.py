@@ -32,6 +32,8 @@ from grainmill.llm.common import bounded, components, join_by_size, map_arrow, r
 from grainmill.llm.wordhash import LOWER, OTHER_VALUES, VALUES, mix, word_values, words
 
 WORDS, PERCENT, BUCKET_BITS, RANGES, CELL, ROUNDS, LINK_CELL, FAN = 4, 85, 18, 64, 2_000, 2, 1_000, 64
+#: Lists of up to so many members are looked at together with others of their component.
+SHORT = 200
 #: How many spanning forests the rounds across components verify; a last round verifies what is left.
 FORESTS = (1, 8)
 IS_WORD = np.ones(256, bool)
@@ -367,12 +369,13 @@ def _across(labelled: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _open_lists(told: DataFrame) -> DataFrame:
-    """Of told(h, label, ...) the lists with several labels, with `place`: lists that share their smallest label are looked at together, but
-    those of a label with more than 2 * CELL rows are dealt into places of about as many."""
+    """Of told(h, label, ...) the lists with several labels, with `place`: lists of up to SHORT members that share their smallest label are
+    looked at together, those of a label with more than CELL rows in places of about as many; a longer list has a place of its own."""
     several = stash(told.groupBy("h").agg(F.min("label").alias("g"), F.max("label").alias("y"), F.count("*").alias("m")).where("g < y").select("h", "g", "m"), "open")
-    wide = stash(several.groupBy("g").agg(F.ceil(F.sum("m") / (2 * CELL)).alias("parts")).where("parts > 1"), "wide")
+    short = F.col("m") <= SHORT
+    wide = stash(several.where(short).groupBy("g").agg(F.ceil(F.sum("m") / CELL).alias("parts")).where("parts > 1"), "wide")
     part = F.pmod(F.xxhash64("h"), F.coalesce("parts", F.lit(1)))
-    placed = several.join(bounded(wide), "g", "left").select("h", F.xxhash64("g", part).alias("place"))
+    placed = several.join(bounded(wide), "g", "left").select("h", F.when(short, F.xxhash64("g", part)).otherwise(F.xxhash64("h")).alias("place"))
     out = stash(told.join(bounded(placed, several), "h"), "open-lists")
     release(told.sparkSession, several, wide)
     return out

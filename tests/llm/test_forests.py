@@ -34,3 +34,17 @@ def test_prefixes_are_on_disk_once_and_not_after_the_lists(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 2}") for i in range(6)], "doc_id long, text string")
     assert jaccard_join.near_components(docs).count() == 6
     assert heads["entries"] == 1 and heads["candidates"] == 0
+
+
+def test_long_lists_are_looked_at_alone(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CELL", 100)
+    monkeypatch.setattr(jaccard_join, "SHORT", 10)
+    rows = [(h, label) for h in range(30) for label in range(5)] + [(h, label) for h in range(30, 40) for label in range(60)] + [(99, 7), (99, 7)]
+    told = spark.createDataFrame(rows, "h long, label long")
+    seen = {}
+    for r in jaccard_join._open_lists(told).collect():
+        seen.setdefault(r.place, []).append(r.h)
+    lists = {place: set(hs) for place, hs in seen.items()}
+    assert sorted(h for hs in lists.values() for h in hs) == list(range(40)) and sum(map(len, seen.values())) == 750
+    assert all(len(hs) == 1 for hs in lists.values() if max(hs) >= 30)
+    assert sum(max(hs) < 30 for hs in lists.values()) in (1, 2)
